@@ -35,11 +35,12 @@ def feistel(number: Column, side: int, seed: int = SEED, rounds: int = ROUNDS) -
     n = F.lit(side).cast("long")
     # a transform of one element binds a round's halves to a name, so that the expression doesn't double each round
     pair = F.array(F.struct(F.call_function("div", number, n).alias("l"), F.pmod(number, n).alias("r")))
+
+    def turn(step: int):
+        return lambda p: F.struct(p["r"].alias("l"), F.pmod(p["l"] + F.pmod(F.xxhash64(F.lit(seed), F.lit(step), p["r"]), n), n).alias("r"))
+
     for step in range(rounds):
-        pair = F.transform(
-            pair,
-            lambda p, step=step: F.struct(p["r"].alias("l"), F.pmod(p["l"] + F.pmod(F.xxhash64(F.lit(seed), F.lit(step), p["r"]), n), n).alias("r")),
-        )
+        pair = F.transform(pair, turn(step))
     return F.transform(pair, lambda p: p["l"] * n + p["r"])[0]
 
 
