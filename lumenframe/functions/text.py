@@ -171,8 +171,7 @@ def candidate_id(stage, *parts) -> Column:
 
 def lm_tokens(c) -> Column:
     """CJK characters one by one, other words in lower case, split at signs."""
-    spaced = F.regexp_replace(F.lower(as_col(c)), f"({CJK})", " $1 ")
-    return F.filter(F.split(F.regexp_replace(spaced, r"[^\p{L}\p{M}\p{N}]+", " "), " "), lambda t: t != "")
+    return F.regexp_extract_all(F.lower(as_col(c)), F.lit(rf"{CJK}|[\p{{L}}\p{{M}}\p{{N}}&&[^{CJK[1:-1]}]]+"), F.lit(0))
 
 
 def bidi_variants(c) -> Column:
