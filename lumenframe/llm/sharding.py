@@ -45,16 +45,19 @@ def feistel(number: Column, side: int, seed: int = SEED, rounds: int = ROUNDS) -
 
 
 def walk_length(spark: SparkSession, n: int, side: int, seed: int = SEED) -> int:
-    """The most steps that any walk needs: values from n to side * side (at most 2 * sqrt(n) + 1) are walked until all are under n."""
-    left, steps = spark.range(n, side * side), 0
-    values = left.select(F.col("id").alias("x"))
-    while True:
-        values = values.select(feistel(F.col("x"), side, seed).alias("x")).where(F.col("x") >= n)
+    """The most steps that any walk needs after the first.
+
+    Walks pass through the values from n to side * side, at most 2 * sqrt(n) + 1, and enter them at one that is no image
+    of another; cycles wholly among them are never entered. Those entries are walked until all are under n.
+    """
+    beyond = spark.range(n, side * side).select(F.col("id").alias("x"))
+    images = materialize(beyond.select(feistel(F.col("x"), side, seed).alias("x")), "walk")
+    values, steps = materialize(beyond.join(images, "x", "left_anti"), "walk"), 0
+    while not values.isEmpty():
+        # a written table each step, so that the expression doesn't grow into the next
+        values = materialize(values.select(feistel(F.col("x"), side, seed).alias("x")).where(F.col("x") >= n), "walk")
         steps += 1
-        if values.isEmpty():
-            return steps
-        if steps % 8 == 0:
-            values = materialize(values, "walk")
+    return steps
 
 
 def permuted(number: Column, n: int, side: int, walk: int, seed: int = SEED) -> Column:
