@@ -32,7 +32,7 @@ from lumenframe.llm.common import BLOCK_BYTES, ascii_lower, map_texts, read
 FIT_ROWS = 20_000
 #: Languages that are learned: the most frequent ones.
 LANGUAGES = 16
-TABLE_BYTES = 96 << 20
+TABLE_BYTES = 48 << 20
 ORDER = 3
 _LETTER = re.compile(r"[^\W\d_]")
 

@@ -29,9 +29,9 @@ from lumenframe.llm.common import map_texts, read
 
 SPACE = "▁"
 #: Bytes of text a block: larger blocks hold fewer distinct segments a byte.
-BLOCK = 12 << 20
+BLOCK = 6 << 20
 #: Segments that a worker keeps between blocks (some 300 bytes each).
-MEMO = 300_000
+MEMO = 200_000
 NONE = np.int64(2**30)
 #: Characters from which a word has an agenda of its own.
 LONG = 64
