@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lumenframe.functions.text import xml_escape
 
 #: Extension to format, fixed.
-FORMATS = {"xliff": "xliff", "xlf": "xliff", "sdlxliff": "xliff", "mxliff": "xliff", "mqxliff": "xliff", "txlf": "xliff", "tmx": "tmx", "tsv": "tsv", "csv": "csv", "txt": "txt", "json": "vtm", "utx": "utx", "tbx": "tbx"}
+FORMATS = {"xliff": "xliff", "xlf": "xliff", "sdlxliff": "xliff", "mxliff": "xliff", "mqxliff": "xliff", "txlf": "xliff", "tmx": "tmx", "tsv": "tsv", "csv": "csv", "txt": "txt", "json": "json", "utx": "utx", "tbx": "tbx"}
 UNITS = "path string, unit_id string, source string, target string, lang string, ordinal long"
 
 
