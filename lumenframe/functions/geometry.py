@@ -5,8 +5,11 @@ A box is four columns or a struct with x, y, w, h; names with a prefix are passe
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumenframe.functions.text import as_col
 
@@ -184,3 +187,108 @@ def dot(a, b) -> Column:
 def sign_hash(vector, low: int, n: int = 32) -> Column:
     """Signs of ``n`` components from ``low`` on, as bits of a number, the first the highest."""
     return F.aggregate(F.slice(as_col(vector), low + 1, n), F.lit(0).cast("bigint"), lambda s, v: s * 2 + F.when(v > 0, 1).otherwise(0))
+
+
+def _after(p) -> Column:
+    """Each corner's successor, round the polygon."""
+    return F.concat(F.slice(p, F.lit(2), F.greatest(F.size(p) - 1, F.lit(0))), F.slice(p, 1, 1))
+
+
+def _point(x, y) -> Column:
+    return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+
+
+def box_polygon(a: Box) -> Column:
+    """A box's corners, clockwise on a screen."""
+    return F.array(_point(a.x, a.y), _point(a.right, a.y), _point(a.right, a.bottom), _point(a.x, a.bottom))
+
+
+def clip_convex(subject, convex) -> Column:
+    """The part of a polygon inside a convex one of either direction, cut by one side after the other; doubles throughout."""
+    subject, convex = as_col(subject), as_col(convex)
+    twice = F.aggregate(F.zip_with(convex, _after(convex), lambda a, b: a["x"] * b["y"] - b["x"] * a["y"]), F.lit(0.0), lambda s, v: s + v)
+    turned = F.when(twice < 0, F.reverse(convex)).otherwise(convex)
+    sides = F.zip_with(turned, _after(turned), lambda a, b: F.struct(a.alias("a"), (b["x"] - a["x"]).alias("dx"), (b["y"] - a["y"]).alias("dy")))
+    corners = F.transform(subject, lambda q: _point(q["x"], q["y"]))
+    nothing = F.slice(corners, 1, 0)
+
+    def depth(side, q):
+        return side["dx"] * (q["y"] - side["a"]["y"]) - side["dy"] * (q["x"] - side["a"]["x"])
+
+    def cut(polygon, side):
+        def piece(p, q):
+            at, to = depth(side, p), depth(side, q)
+            share = at / F.nullif(at - to, F.lit(0.0))
+            crossing = F.array(_point(p["x"] + share * (q["x"] - p["x"]), p["y"] + share * (q["y"] - p["y"])))
+            return F.concat(F.when(at >= 0, F.array(p)).otherwise(nothing), F.when((at >= 0) != (to >= 0), crossing).otherwise(nothing))
+
+        return F.flatten(F.zip_with(polygon, _after(polygon), piece))
+
+    return F.aggregate(sides, corners, cut)
+
+
+def polygon_intersection(a, b) -> Column:
+    """Common area of a polygon and a convex one."""
+    return polygon_area(clip_convex(a, b))
+
+
+def polygon_iou(a, b) -> Column:
+    both = polygon_intersection(a, b)
+    return F.when(both > 0, both / (polygon_area(a) + polygon_area(b) - both)).otherwise(F.lit(0.0))
+
+
+def polygon_containment(inner, outer) -> Column:
+    """Share of the inner polygon inside a convex outer one."""
+    area = polygon_area(inner)
+    return F.when(area > 0, polygon_intersection(inner, outer) / area).otherwise(F.lit(0.0))
+
+
+def sampled_containment(a: Box, points, side: int = 7) -> Column:
+    """Share of a grid of ``side`` by ``side`` cell centres of a box that lie in a polygon of any shape."""
+    grid = F.array(*[F.struct((a.x + a.w * ((i + 0.5) / side)).alias("x"), (a.y + a.h * ((j + 0.5) / side)).alias("y")) for i in range(side) for j in range(side)])
+    return F.size(F.filter(grid, lambda q: point_in_polygon(q["x"], q["y"], points))) / (side * side)
+
+
+def association_score(a: Box, b: Box, text_similarity, same_shot) -> Column:
+    """How well an observation continues a track: overlap and text, 0 across shots."""
+    return F.when(as_col(same_shot), 0.65 * iou(a, b) + 0.35 * as_col(text_similarity)).otherwise(F.lit(0.0))
+
+
+def lab(r, g, b) -> Column:
+    """CIE L*a*b* (D65) of sRGB values of 0 to 255."""
+
+    def linear(c):
+        v = as_col(c) / 255
+        return F.when(v <= 0.04045, v / 12.92).otherwise(F.pow((v + 0.055) / 1.055, F.lit(2.4)))
+
+    def root(t):
+        return F.when(t > (6 / 29) ** 3, F.cbrt(t)).otherwise(t / (3 * (6 / 29) ** 2) + 4 / 29)
+
+    rr, gg, bb = linear(r), linear(g), linear(b)
+    # the sRGB primaries' matrix and the D65 white point, fixed values
+    x = root((0.4124564 * rr + 0.3575761 * gg + 0.1804375 * bb) / 0.95047)
+    y = root(0.2126729 * rr + 0.7151522 * gg + 0.0721750 * bb)
+    z = root((0.0193339 * rr + 0.1191920 * gg + 0.9503041 * bb) / 1.08883)
+    return F.struct((116 * y - 16).alias("l"), (500 * (x - y)).alias("a"), (200 * (y - z)).alias("b"))
+
+
+def delta_e(one: Column, other: Column) -> Column:
+    """Colour difference of 1976."""
+    return F.sqrt(sum((F.pow(one[k] - other[k], F.lit(2)) for k in "ab"), F.pow(one["l"] - other["l"], F.lit(2))))
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def perspective(source: pd.Series, target: pd.Series) -> pd.Series:
+    """Eight coefficients of the projection of four source corners [x, y] onto four target ones; null if there is none."""
+    out = []
+    for a, b in zip(source, target):
+        try:
+            rows, want = [], []
+            for (x, y), (u, v) in zip(a, b, strict=True):
+                rows += [[x, y, 1, 0, 0, 0, -u * x, -u * y], [0, 0, 0, x, y, 1, -v * x, -v * y]]
+                want += [u, v]
+            found = np.linalg.solve(np.array(rows, float), np.array(want, float))
+            out.append(found.tolist() if np.isfinite(found).all() else None)
+        except (np.linalg.LinAlgError, TypeError, ValueError):
+            out.append(None)
+    return pd.Series(out, dtype=object)

@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from lumenframe.functions import geometry as geo
 from lumenframe.functions import text as tx
 from lumenframe.operators import evidence, graph, language_model, matching, metrics, spatial, store
+from lumenframe.operators import detection, plates as plating
 from lumenframe.plans.relations import BOXES, FRAMES, LINES, PAIRS, boxes, lines, norm, observations, table
 from lumenframe.sources import interchange
-from lumenframe.streaming import events as ev
+from lumenframe.streaming import events as ev, tracker
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -457,6 +458,79 @@ def box_scalars(spark, sf_dir):
     return frame.select("asset", "id", geo.intersection(geo.Box(), geo.Box("f_")).alias("inside"), geo.is_tall(geo.Box()).alias("tall"))
 
 
+@query(f"WITH {BOXES}, {PAIRS} SELECT asset, a_id, b_id, CAST(inter AS BIGINT) AS common FROM pairs WHERE a_backend = 0 AND b_backend = 1")
+def polygon_overlap(spark, sf_dir):
+    """Common area of overlapping boxes as polygons, clipped side by side."""
+    p = spatial.overlapping_pairs(*halves(spark, sf_dir))
+    common = geo.polygon_intersection(geo.box_polygon(geo.Box("a_")), geo.box_polygon(geo.Box("b_")))
+    return p.select("asset", "a_id", "b_id", F.round(common).cast("bigint").alias("common"))
+
+
+@query(f"""WITH {BOXES}, {PAIRS}, c AS (SELECT *, inter / (aw * ah) AS holds, inter / (bw * bh) AS within FROM pairs WHERE a_backend = 0 AND b_backend = 1),
+s AS (SELECT asset, b_id, count(*) AS spans FROM c WHERE holds >= 0.6 GROUP BY 1, 2), p AS (SELECT c.*, coalesce(spans, 0) AS spans, iou >= 0.1 AS touch, iou >= 0.1 AND within >= 0.8 AS inside FROM c LEFT JOIN s USING (asset, b_id)),
+d AS (SELECT p.asset, p.a_id, sum(q.inter) AS twice FROM p JOIN p r ON r.asset = p.asset AND r.a_id = p.a_id AND r.b_id > p.b_id AND p.inside AND r.inside JOIN pairs q ON q.asset = p.asset AND q.a_id = p.b_id AND q.b_id = r.b_id GROUP BY 1, 2),
+b AS (SELECT asset, a_id, iou, holds, within FROM (SELECT *, row_number() OVER (PARTITION BY asset, a_id ORDER BY iou DESC, b_id) AS r FROM p) WHERE r = 1),
+g AS (SELECT asset, a_id, bool_or(touch) AS touched, bool_or(holds >= 0.6) AS swallowed, bool_or(touch AND spans >= 2) AS spanned, count(*) FILTER (inside) AS n_inside, sum(inter) FILTER (inside) AS covered FROM p GROUP BY 1, 2)
+SELECT t.asset, t.id, coalesce(b.iou, 0) AS best_iou, CASE WHEN b.iou IS NULL THEN 'missed' WHEN b.iou >= 0.5 THEN 'matched' WHEN NOT touched AND swallowed THEN 'over_merged' WHEN NOT touched THEN 'missed' WHEN spanned THEN 'over_merged'
+  WHEN n_inside >= 2 AND (covered - coalesce(twice, 0)) / (t.w * t.h) >= 0.5 THEN 'fragmented' WHEN b.within >= 0.9 AND b.holds < 0.5 THEN 'clipped' ELSE 'displaced' END AS outcome
+FROM boxes t LEFT JOIN b ON b.asset = t.asset AND b.a_id = t.id LEFT JOIN g ON g.asset = t.asset AND g.a_id = t.id LEFT JOIN d ON d.asset = t.asset AND d.a_id = t.id WHERE t.backend = 0""")
+def region_outcomes(spark, sf_dir):
+    """What became of every true region."""
+    return detection.taxonomy(*halves(spark, sf_dir)).drop("merged_by")
+
+
+def block_inputs(spark, sf_dir):
+    """Three requested texts of every asset, and its boxes as candidates; boxes of one backend are shipped."""
+    b = boxes(spark, sf_dir)
+    asked = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(t).alias("text")) for i, t in enumerate(("A", "RR", "NNN"))])
+    blocks = b.select("asset").distinct().withColumn("b", F.explode(asked)).select("asset", F.col("b.text").alias("block"), F.col("b.place").alias("place"), F.col("b.text").alias("text"), F.lit(None).cast("int").alias("expected"))
+    return blocks, b.select("asset", "id", "text", (F.col("backend") == 0).alias("shipped"))
+
+
+@query(f"""WITH {BOXES}, k(block) AS (VALUES ('A'), ('RR'), ('NNN')), a AS (SELECT DISTINCT asset FROM boxes), n AS (SELECT asset, text AS block, least(count(*), 12) AS n FROM boxes GROUP BY 1, 2)
+SELECT a.asset, k.block, coalesce(n.n, 0) AS n, CASE WHEN n.n IS NULL THEN 'not_detected' WHEN n.n > 1 THEN 'multiple' ELSE 'found' END AS state FROM a CROSS JOIN k LEFT JOIN n ON n.asset = a.asset AND n.block = k.block""")
+def locate_blocks(spark, sf_dir):
+    """Requested texts with their claimed occurrences and state."""
+    blocks, candidates = block_inputs(spark, sf_dir)
+    return detection.located(blocks, detection.locate(blocks, candidates))
+
+
+# Plates
+
+
+def plated(spark, sf_dir):
+    """Regions in order of id; every tenth asset has its first two regions pinned."""
+    r = boxes(spark, sf_dir).select("asset", "id", "x", "y", "w", "h", "text", F.col("id").alias("reading_order"), F.lit(False).alias("square"))
+    pinned = r.where("asset % 10 = 0").select("asset").distinct().select("asset", F.concat(F.lit("pin-"), F.col("asset").cast("string")).alias("uid"), F.array(F.lit(1).cast("bigint"), F.lit(2).cast("bigint")).alias("members"))
+    return r, plating.group(r, plating.nearby_edges(r), pinned)
+
+
+@query(f"""WITH RECURSIVE {BOXES}, f AS (SELECT * FROM boxes WHERE NOT (asset % 10 = 0 AND id <= 2)),
+e AS (SELECT a.asset, a.id AS a, b.id AS b FROM f a JOIN f b ON a.asset = b.asset AND a.id <> b.id AND greatest(0, a.x - b.x - b.w, b.x - a.x - a.w) <= least(a.h, b.h) * 2.5 AND greatest(0, a.y - b.y - b.h, b.y - a.y - a.h) <= least(a.h, b.h) * 1.6),
+r AS (SELECT asset, id, id AS t FROM f UNION SELECT r.asset, r.id, e.b FROM r JOIN e ON e.asset = r.asset AND e.a = r.t), c AS (SELECT asset, id, min(t) AS root FROM r GROUP BY 1, 2),
+p AS (SELECT f.asset, string_agg(CAST(f.id AS VARCHAR), ',' ORDER BY f.id) AS members, string_agg(f.text, chr(10) ORDER BY f.id) AS source, min(f.id) AS first, CASE WHEN count(*) > 1 THEN 'derived' ELSE 'solo' END AS origin FROM f JOIN c ON c.asset = f.asset AND c.id = f.id GROUP BY f.asset, c.root
+  UNION ALL SELECT asset, '1,2', string_agg(text, chr(10) ORDER BY id) FILTER (id <= 2), 1, 'pinned' FROM boxes WHERE asset % 10 = 0 GROUP BY 1)
+SELECT asset, row_number() OVER (PARTITION BY asset ORDER BY first) AS plate, members, source, origin FROM p""")
+def plates(spark, sf_dir):
+    """Regions grouped to plates, pinned ones kept."""
+    _, p = plated(spark, sf_dir)
+    return p.select("asset", "plate", F.array_join(F.transform("members", lambda i: i.cast("string")), ",").alias("members"), "source", "origin")
+
+
+@query(f"""WITH {BOXES}, n AS (SELECT asset, count(*) AS n FROM boxes GROUP BY 1) SELECT asset, 'pin-' || asset AS uid, 'missing_region' AS problem FROM n WHERE asset % 10 = 0 AND n < 2""")
+def plate_problems(spark, sf_dir):
+    """Plates that name a region that is gone."""
+    r, p = plated(spark, sf_dir)
+    return plating.problems(p, r)
+
+
+@query()
+def tracks(spark, sf_dir):
+    """Boxes of an asset's line numbers as frames, followed through them."""
+    b = boxes(spark, sf_dir).withColumns({"frame": F.col("id"), "shot": F.col("backend")})
+    return tracker.track(b)
+
+
 # Evidence
 
 
