@@ -98,6 +98,8 @@ def map_texts(df: DataFrame, text: str, fn: Callable[[list[str | None]], dict[st
             columns = [block.column(k).cast(kinds.field(k).type) for k in keep]
             columns += [made[f.name] if isinstance(made[f.name], pa.Array) else pa.array(made[f.name], kinds.field(f.name).type) for f in more]
             yield pa.RecordBatch.from_arrays(columns, schema=kinds)
+        # workers outlive their tasks: what Arrow holds in reserve goes back to the system
+        pa.default_memory_pool().release_unused()
 
     return df.select(*cols).mapInArrow(run, out)
 

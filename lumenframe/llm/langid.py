@@ -84,7 +84,7 @@ class Model:
                 rest = fresh.sum(axis=1, keepdims=True)
                 escape = np.where(n > 0, d / np.maximum(n + d, 1), 1).astype(np.float32)
                 escape = np.where(rest > 0, escape, 0)
-                total = np.maximum(np.where(rest > 0, n + d, n), 1)
+                total = np.maximum(np.where(rest > 0, n + d, n), 1).astype(np.float32)
                 below = np.where(seen > 0, seen / total, escape * fresh / np.where(rest > 0, rest, 1)).astype(np.float32)
             table[:, k] = -np.log2(below.reshape(-1))
         return table
@@ -168,8 +168,8 @@ def score_block(model: Model, symbol: np.ndarray, table: np.ndarray, texts: list
         else:
             code = grams(symbol[_bytes(t)], model.size)
             bits = np.zeros(len(model.languages))
-            for i in range(0, len(code), 1 << 20):
-                bits += table[code[i : i + (1 << 20)]].sum(axis=0, dtype=np.float64)
+            for i in range(0, len(code), 1 << 18):
+                bits += table[code[i : i + (1 << 18)]].sum(axis=0, dtype=np.float64)
             best = int(np.argmin(bits))
             # the posterior of the winner under equal priors
             pred, score, rate = model.languages[best], float(1 / np.exp2(np.maximum(bits[best] - bits, -1000)).sum()), float(bits[best] / len(code))
