@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema as arrow_schema
 
 from lumenframe.functions.geometry import Box, intersection, iou
 from lumenframe.functions.text import fuzzy_ratio, normalize_text
@@ -78,19 +80,28 @@ def locate(blocks: DataFrame, candidates: DataFrame, least: float = GUIDED, most
     scored = near.withColumn("similarity", F.when(F.col("ak") == F.col("bk"), F.lit(1.0)).otherwise(fuzzy_ratio("ak", "bk"))).where(F.col("similarity") >= least)
     rows = asked.select(key, "block", "place", "expected", "ak").join(scored, [key, "ak"]).join(pool.select(key, "id", "shipped", "bk"), [key, "bk"])
     rows = rows.withColumn("method", F.when(F.col("ak") == F.col("bk"), "exact").otherwise("fuzzy")).select(key, "block", "place", "expected", "id", "shipped", "similarity", "method")
-    out = rows.select(key, "block", "id", "similarity", "method")
+    fields = [rows.schema[c] for c in (key, "block", "id", "similarity", "method")]
+    rank = F.col("similarity") + F.when(F.col("shipped"), 0.001).otherwise(0.0)
+    # an asset's rows come in the order of their claims, so that one pass with the asset's taken ids is enough
+    ordered = rows.select(key, "block", "id", "similarity", "method", "place", "expected", rank.alias("rank")).repartition(key).sortWithinPartitions(key, "place", "block", F.desc("rank"), "id")
 
-    def claim(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(rank=pdf.similarity + pdf.shipped * 0.001).sort_values(["place", "block", "rank", "id"], ascending=[True, True, False, True], kind="stable")
-        used, take = set(), []
-        for _, own in pdf.groupby(["place", "block"], sort=False):
-            want = own.expected.iloc[0]
-            free = own[~own.id.isin(used)].head(min(most, int(want)) if pd.notna(want) and want else most)
-            used.update(free.id)
-            take += list(free.index)
-        return pdf.loc[take, [key, "block", "id", "similarity", "method"]]
+    def claim(batches):
+        kinds = arrow_schema(T.StructType(fields))
+        asset, block, left, used = None, None, 0, set()
+        for batch in batches:
+            take = []
+            for i, (k, b, one, place, want) in enumerate(zip(*(batch.column(c).to_pylist() for c in (key, "block", "id", "place", "expected")))):
+                if k != asset:
+                    asset, block, used = k, None, set()
+                if (place, b) != block:
+                    block, left = (place, b), min(most, want) if want else most
+                if left and one not in used:
+                    used.add(one)
+                    left -= 1
+                    take.append(i)
+            yield batch.select(kinds.names).take(pa.array(take, pa.int64())).cast(kinds)
 
-    return rows.groupBy(key).applyInPandas(claim, out.schema)
+    return ordered.mapInArrow(claim, T.StructType(fields))
 
 
 def located(blocks: DataFrame, occurrences: DataFrame, *, key: str = "asset") -> DataFrame:

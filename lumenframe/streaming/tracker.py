@@ -10,8 +10,10 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 LEAST_IOU = 0.10
 LEAST_SCORE = 0.34
@@ -120,13 +122,43 @@ def _result(df: DataFrame, by: list[str]) -> T.StructType:
 
 
 def track(observations: DataFrame, by: tuple[str, ...] = ("asset", "shot")) -> DataFrame:
-    """Every observation with its track of the shot, and how often that was seen so far. Shots run apart; one shot is one Arrow group."""
-    names = [*by, "frame", "id", "track", "sights", "confirmed"]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return Tracker().feed(pdf)[names]
-
-    return observations.select(*by, *_COLUMNS).groupBy(*by).applyInPandas(run, _result(observations, list(by)))
+    """Every observation with its track of the shot, and how often that was seen so far; those without a frame are left out.
+
+    Shots run apart, in one pass over rows in order of shot and frame: memory is for one batch and the live tracks.
+    """
+    columns, out = [*by, *_COLUMNS], _result(observations, list(by))
+    ordered = observations.where("frame IS NOT NULL").select(*columns).repartition(*by).sortWithinPartitions(*by, "frame", "id")
+
+    def run(batches):
+        kinds, n = to_arrow_schema(out), len(by)
+        tracker, shot, held = Tracker(), None, []
+
+        def settle(done):
+            # a frame is complete once a row of another comes
+            if held:
+                found = tracker.step(held[0][n], [(r[n + 2 : n + 6], r[n + 6]) for r in held])
+                done += [(*r[: n + 2], k, sights, sights >= BIRTH) for r, (k, sights, _) in zip(held, found)]
+                held.clear()
+
+        def table(done):
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), kinds)], schema=kinds)
+
+        for batch in batches:
+            done: list[tuple] = []
+            for r in zip(*(batch.column(c).to_pylist() for c in columns)):
+                if held and r[: n + 1] != held[0][: n + 1]:
+                    settle(done)
+                if r[:n] != shot:
+                    shot, tracker = r[:n], Tracker()
+                held.append(r)
+            if done:
+                yield table(done)
+        done = []
+        settle(done)
+        if done:
+            yield table(done)
+
+    return ordered.mapInArrow(run, out)
 
 
 def track_stream(stream: DataFrame, by: tuple[str, ...] = ("asset", "shot")) -> DataFrame:
