@@ -4,13 +4,13 @@ Each learned language has a byte context tree of orders 0 to 3, with escape prob
 gets the share d / (n + d) of a context seen n times with d different bytes, divided among the bytes unseen there in
 proportion to the next shorter context, which makes all code lengths those of proper distributions). Statistics are
 frozen after training; the code length of a text is the exact sum over its bytes, of the whole text, for every
-language, and the shortest wins. Bytes outside the model's alphabet (the most frequent bytes after lower-casing A-Z)
-share one symbol and cost the same in every language.
+language, and the shortest wins. All 256 byte values are symbols (A-Z are lower-cased).
 
 Training: the trees are counted on labelled rows whose hash of the id falls under a threshold that lets FIT_ROWS rows
 through in expectation (all rows if there are fewer). Rows of the held-out third (crc32 of the id as text, mod 3, is
-1) and rows without a language or id are never used. The counts are a table of at most LANGUAGES * symbols ** 4 rows,
-in practice some ten thousand; workers turn it into an array of code lengths once, of at most TABLE_BYTES.
+1) and rows without a language or id are never used. The counts have one row for each different (order + 1)-gram that a
+language was seen with; workers turn them into sorted arrays once, of the grams and contexts seen at each order, so that
+memory grows with what training saw and not with the number of possible contexts.
 
 A null text, or one without a letter, is ``und`` with score 0; without training rows all texts are ``und``. Ties go to
 the language first in alphabetical order. Repeated rows give repeated rows. Null ids are not held out.
@@ -32,8 +32,9 @@ from lumenframe.llm.common import BLOCK_BYTES, ascii_lower, map_texts, read
 FIT_ROWS = 20_000
 #: Languages that are learned: the most frequent ones.
 LANGUAGES = 16
-TABLE_BYTES = 48 << 20
 ORDER = 3
+#: Bytes of text whose code lengths are looked up at a time.
+PIECE = 1 << 20
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -45,74 +46,88 @@ def _bytes(text: str | None) -> np.ndarray:
     return np.frombuffer(ascii_lower(text).encode("utf-8", "surrogatepass"), np.uint8) if text else np.zeros(0, np.uint8)
 
 
-def symbols_for(languages: int) -> int:
-    """Symbols such that the table of code lengths stays under TABLE_BYTES."""
-    return max(8, min(64, int((TABLE_BYTES / (4 * max(1, languages))) ** (1 / (ORDER + 1)))))
+class Tree:
+    """One language's contexts: for each order the grams seen with their code lengths, and the contexts with those of an escape."""
+
+    def __init__(self, codes: np.ndarray, counts: np.ndarray):
+        self.orders: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        for order in range(ORDER + 1 if len(codes) else 0):
+            seen, place = np.unique(codes & _mask(order + 1), return_inverse=True)
+            n = np.bincount(place, counts)
+            context, place = np.unique(seen >> np.uint32(8), return_inverse=True)
+            total, different = np.bincount(place, n), np.bincount(place)
+            # what the next shorter context leaves to the bytes unseen here
+            rest = 1 - np.bincount(place, np.exp2(-self.bits(seen & _mask(order))))
+            escapes = different < 256
+            rest = np.where(escapes, rest, 1)
+            share = n / np.where(escapes, total + different, total)[place]
+            self.orders.append((seen, -np.log2(share), context, np.log2(rest * (total + different) / different)))
+        self.orders = [(g, b.astype(np.float32), c, e.astype(np.float32)) for g, b, c, e in self.orders]
+
+    def bits(self, codes: np.ndarray) -> np.ndarray:
+        """Code length of the last byte of each gram: of the longest context that has seen it, and of the escapes from longer ones."""
+        out = np.full(len(codes), 8.0)
+        for order, (seen, length, context, escape) in enumerate(self.orders):
+            gram = codes & _mask(order + 1)
+            at, known = _find(context, gram >> np.uint32(8))
+            out[known] += escape[at[known]]
+            at, known = _find(seen, gram)
+            out[known] = length[at[known]]
+        return out
+
+
+def _mask(n: int) -> np.uint32:
+    """Of the last ``n`` bytes of a gram."""
+    return np.uint32((1 << 8 * n) - 1)
+
+
+def _find(table: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the values in a sorted table, and whether they are there."""
+    at = np.minimum(np.searchsorted(table, values), len(table) - 1)
+    return at, table[at] == values
 
 
 class Model:
     """Counts of (order + 1)-grams by language, frozen."""
 
-    def __init__(self, languages: list[str], alphabet: bytes, grams: dict[str, tuple[np.ndarray, np.ndarray]]):
-        self.languages, self.alphabet, self.grams = languages, alphabet, grams
-        self.key = uuid.uuid4().hex
+    size = 256
 
-    @property
-    def size(self) -> int:
-        return len(self.alphabet) + 1
+    def __init__(self, languages: list[str], grams: dict[str, tuple[np.ndarray, np.ndarray]]):
+        self.languages, self.grams = languages, grams
+        self.key = uuid.uuid4().hex
 
-    def symbol_of(self) -> np.ndarray:
-        out = np.full(256, len(self.alphabet), np.int32)
-        out[list(self.alphabet)] = np.arange(len(self.alphabet))
-        return out
+    def trees(self) -> list[Tree]:
+        return [Tree(*self.grams[x]) for x in self.languages]
 
     def lengths(self) -> np.ndarray:
-        """Code length in bits of each symbol after each context: array [(order + 1)-gram, language]."""
-        m = self.size
-        table = np.zeros((m ** (ORDER + 1), len(self.languages)), np.float32)
-        for k, lang in enumerate(self.languages):
-            codes, counts = self.grams[lang]
-            full = np.zeros(m ** (ORDER + 1), np.float32)
-            full[codes] = counts
-            below = np.full((1, m), 1 / m, np.float32)
-            for order in range(ORDER + 1):
-                # counts of each context of this order, and shares of what it has seen
-                seen = full.reshape(m ** (ORDER - order), m**order, m).sum(axis=0) if order < ORDER else full.reshape(m**order, m)
-                n, d = seen.sum(axis=1, keepdims=True), (seen > 0).sum(axis=1, keepdims=True)
-                shorter = below if order == 0 else np.tile(below, (m, 1))
-                fresh = np.where(seen > 0, np.float32(0), shorter)
-                rest = fresh.sum(axis=1, keepdims=True)
-                escape = np.where(n > 0, d / np.maximum(n + d, 1), 1).astype(np.float32)
-                escape = np.where(rest > 0, escape, 0)
-                total = np.maximum(np.where(rest > 0, n + d, n), 1).astype(np.float32)
-                below = np.where(seen > 0, seen / total, escape * fresh / np.where(rest > 0, rest, 1)).astype(np.float32)
-            table[:, k] = -np.log2(below.reshape(-1))
-        return table
-
-
-_tables: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _compiled(model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """The model's arrays, made once in a worker; another model's replace them."""
-    if model.key not in _tables:
-        _tables.clear()
-        _tables[model.key] = model.symbol_of(), model.lengths()
-    return _tables[model.key]
-
-
-def grams(codes: np.ndarray, m: int) -> np.ndarray:
-    """(order + 1)-grams of a text's symbols, begun as if after the first symbol."""
-    lead = np.concatenate([np.zeros(ORDER, np.int32), codes])
-    out = np.zeros(len(codes), np.int32)
+        """Code length in bits of each byte after each context that any language has seen: array [(order + 1)-gram, language]."""
+        context = np.unique(np.concatenate([self.grams[x][0] >> np.uint32(8) for x in self.languages]))
+        codes = (context[:, None] << np.uint32(8) | np.arange(256, dtype=np.uint32)).reshape(-1)
+        return np.stack([t.bits(codes).astype(np.float32) for t in self.trees()], axis=1)
+
+
+_trees: dict[str, list[Tree]] = {}
+
+
+def _compiled(model: Model) -> list[Tree]:
+    """The model's trees, made once in a worker; another model's replace them."""
+    if model.key not in _trees:
+        _trees.clear()
+        _trees[model.key] = model.trees()
+    return _trees[model.key]
+
+
+def grams(text: np.ndarray) -> np.ndarray:
+    """(order + 1)-grams of a text's bytes as numbers, begun as if after zero bytes."""
+    lead = np.concatenate([np.zeros(ORDER, np.uint8), text])
+    out = np.zeros(len(text), np.uint32)
     for i in range(ORDER + 1):
-        out = out * m + lead[i : i + len(codes)]
+        out = out << np.uint32(8) | lead[i : i + len(text)]
     return out
 
 
-def _train_counts(rows: DataFrame, lang: str, text: str, languages: list[str], alphabet: bytes) -> DataFrame:
-    place, size = {x: i for i, x in enumerate(languages)}, len(alphabet) + 1
-    symbol = Model(languages, alphabet, {}).symbol_of()
+def _train_counts(rows: DataFrame, lang: str, text: str, languages: list[str]) -> DataFrame:
+    place = {x: i for i, x in enumerate(languages)}
 
     def run(batches):
         import pyarrow as pa
@@ -123,7 +138,7 @@ def _train_counts(rows: DataFrame, lang: str, text: str, languages: list[str], a
             held: dict[int, list[np.ndarray]] = {}
             for one, t in zip(block.column(lang).to_pylist(), block.column(text).to_pylist()):
                 if one in place and t:
-                    held.setdefault(place[one], []).append(grams(symbol[_bytes(t)], size))
+                    held.setdefault(place[one], []).append(grams(_bytes(t)))
             for k, parts in held.items():
                 code, n = np.unique(np.concatenate(parts), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), k, np.int32)), pa.array(code.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
@@ -131,48 +146,60 @@ def _train_counts(rows: DataFrame, lang: str, text: str, languages: list[str], a
     return rows.select(lang, text).mapInArrow(run, "lang int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def _byte_counts(rows: DataFrame, text: str) -> list[int]:
-    def block(texts):
-        # one row of the block has its sums
-        total = sum((np.bincount(_bytes(t), minlength=256) for t in texts), np.zeros(256, np.int64))
-        return {"counts": [total.tolist()] + [None] * (len(texts) - 1)}
-
-    each = map_texts(rows, text, block, "counts array<long>", []).where("counts IS NOT NULL")
-    total = {r["i"]: r["n"] for r in each.select(F.posexplode("counts").alias("i", "n")).groupBy("i").agg(F.sum("n").alias("n")).collect()}
-    return [total.get(i, 0) for i in range(256)]
-
-
 def train(df: DataFrame, *, id_col: str = "doc_id", text: str = "text", lang: str = "lang", fit_rows: int = FIT_ROWS) -> Model:
     """Fit on labelled rows outside the held-out third; expected at most ``fit_rows`` of them."""
     rows = df.where(F.col(id_col).isNotNull() & F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(id_col))
     known = rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(LANGUAGES).collect()
     languages, total = sorted(r[0] for r in known), sum(r[1] for r in known)
     if not languages:
-        return Model([], b"", {})
+        return Model([], {})
     if total > fit_rows:
         rows = rows.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 20)) < math.ceil(fit_rows / total * (1 << 20)))
-    rows = rows.select(lang, text)
-    counts = _byte_counts(rows, text)
-    order = sorted((b for b in range(256) if counts[b]), key=lambda b: (-counts[b], b))
-    alphabet = bytes(sorted(order[: symbols_for(len(languages)) - 1]))
-    got = _train_counts(rows, lang, text, languages, alphabet).toPandas()
-    made = {x: got[got["lang"] == i] for i, x in enumerate(languages)}
-    return Model(languages, alphabet, {x: (g["gram"].to_numpy(np.int64), g["n"].to_numpy(np.float32)) for x, g in made.items()})
+    got = _train_counts(rows.select(lang, text), lang, text, languages).toArrow()
+    which, code, n = (got.column(c).to_numpy() for c in ("lang", "gram", "n"))
+    by = np.lexsort((code, which))
+    which, code, n = which[by], code[by].astype(np.uint32), n[by]
+    edge = np.searchsorted(which, np.arange(len(languages) + 1))
+    return Model(languages, {x: (code[a:b], n[a:b]) for x, a, b in zip(languages, edge, edge[1:])})
+
+
+def code_lengths(trees: list[Tree], texts: list[str | None]) -> np.ndarray:
+    """Bits of each text in each language; each different gram of a piece is looked up once."""
+    out = np.zeros((len(texts), len(trees)))
+    held: list[tuple[int, np.ndarray]] = []
+
+    def look_up():
+        code, place = np.unique(np.concatenate([x for _, x in held]), return_inverse=True)
+        begin = np.cumsum([0] + [len(x) for _, x in held[:-1]])
+        owner = [i for i, _ in held]
+        for k, tree in enumerate(trees):
+            np.add.at(out[:, k], owner, np.add.reduceat(tree.bits(code)[place], begin))
+        held.clear()
+
+    size = 0
+    for i, t in enumerate(texts):
+        code = grams(_bytes(t))
+        for at in range(0, len(code), PIECE):
+            held.append((i, code[at : at + PIECE]))
+            size += len(held[-1][1])
+            if size >= PIECE:
+                look_up()
+                size = 0
+    if held:
+        look_up()
+    return out
 
 
-def score_block(model: Model, symbol: np.ndarray, table: np.ndarray, texts: list[str | None]) -> dict[str, list]:
+def score_block(model: Model, trees: list[Tree], texts: list[str | None]) -> dict[str, list]:
     out: dict[str, list] = {"lang_pred": [], "score": [], "bits_per_byte": []}
-    for t in texts:
-        if not t or not model.languages or not _LETTER.search(t):
+    read = [t if t and model.languages and _LETTER.search(t) else None for t in texts]
+    for t, bits in zip(read, code_lengths(trees, read)):
+        if t is None:
             pred, score, rate = "und", 0.0, None
         else:
-            code = grams(symbol[_bytes(t)], model.size)
-            bits = np.zeros(len(model.languages))
-            for i in range(0, len(code), 1 << 18):
-                bits += table[code[i : i + (1 << 18)]].sum(axis=0, dtype=np.float64)
             best = int(np.argmin(bits))
             # the posterior of the winner under equal priors
-            pred, score, rate = model.languages[best], float(1 / np.exp2(np.maximum(bits[best] - bits, -1000)).sum()), float(bits[best] / len(code))
+            pred, score, rate = model.languages[best], float(1 / np.exp2(np.maximum(bits[best] - bits, -1000)).sum()), float(bits[best] / len(_bytes(t)))
         out["lang_pred"].append(pred)
         out["score"].append(score)
         out["bits_per_byte"].append(rate)
@@ -184,8 +211,8 @@ def predict(df: DataFrame, model: Model, *, text: str = "text", keep: list[str])
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        symbol, table = _compiled(sent.value)
-        return lambda texts: score_block(sent.value, symbol, table, texts)
+        trees = _compiled(sent.value)
+        return lambda texts: score_block(sent.value, trees, texts)
 
     return map_texts(df, text, None, "lang_pred string, score double, bits_per_byte double", keep, make=make)
 

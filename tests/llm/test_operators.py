@@ -191,6 +191,21 @@ def test_langid_distributions(docs):
     assert abs(total - 1).max() < 1e-3  # every context's code lengths are those of a distribution
 
 
+def made_texts(seed, letters, n, size=30):
+    rng = random.Random(seed)
+    vocabulary = ["".join(rng.choice(letters) for _ in range(rng.randrange(2, 8))) for _ in range(60)]
+    return [" ".join(rng.choice(vocabulary) for _ in range(size)) for _ in range(n)]
+
+
+def test_langid_keeps_bytes_of_rare_scripts(spark):
+    # two languages that differ in the second bytes of their letters only, in a mostly Latin corpus
+    texts = [(t, x) for k, x in enumerate(("en", "de")) for t in made_texts(k, "abcdefghijklmnopqrstuvwxyzàäçèéêë0123456789", 300, 100)]
+    texts += [(t, "aa") for t in made_texts(7, "абвгдежз", 10, 10)] + [(t, "bb") for t in made_texts(7, "ийклмноп", 10, 10)]
+    df = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(texts)], "doc_id long, text string, lang string")
+    found = langid.predict(df, langid.train(df), keep=["doc_id", "lang"]).collect()
+    assert all(r["lang"] == r["lang_pred"] for r in found)
+
+
 def test_warc(spark):
     big, other = "<p>" + "x" * 2000, "é" * 600
     pages = [(1, "u1", big), (2, "u2", big), (3, None, "small"), (4, "u\r\n4", "small"), (5, "u5", None), (6, "u6", ""), (7, "u7", other), (7, "u7", other), (8, "u8", other + "x"), (None, "n", big), (9, "u9", other)]
