@@ -6,8 +6,9 @@ proportion to the next shorter context, which makes all code lengths those of pr
 frozen after training; the code length of a text is the exact sum over its bytes, of the whole text, for every
 language, and the shortest wins. All 256 byte values are symbols (A-Z are lower-cased).
 
-Training: the trees are counted on labelled rows whose hash of the id falls under a threshold that lets FIT_ROWS rows
-through in expectation (all rows if there are fewer). Rows of the held-out third (crc32 of the id as text, mod 3, is
+Training: every language of the training rows is learned. The trees are counted on labelled rows whose hash of the id
+falls under their language's threshold; thresholds let about FIT_ROWS rows through in all (all rows if there are fewer),
+and as many of each language, or all of its rows if it has fewer; the least hash of a language always passes. Rows of the held-out third (crc32 of the id as text, mod 3, is
 1) and rows without a language or id are never used. The counts have one row for each different (order + 1)-gram that a
 language was seen with; workers turn them into sorted arrays once, of the grams and contexts seen at each order, so that
 memory grows with what training saw and not with the number of possible contexts.
@@ -25,13 +26,14 @@ import uuid
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumenframe.llm.common import BLOCK_BYTES, ascii_lower, map_texts, read
 
 #: Expected number of labelled rows that the model is fitted on.
 FIT_ROWS = 20_000
-#: Languages that are learned: the most frequent ones.
-LANGUAGES = 16
+#: Values of the hash that rows are drawn by.
+DRAWS = 1 << 20
 ORDER = 3
 #: Bytes of text whose code lengths are looked up at a time.
 PIECE = 1 << 20
@@ -146,16 +148,29 @@ def _train_counts(rows: DataFrame, lang: str, text: str, languages: list[str]) -
     return rows.select(lang, text).mapInArrow(run, "lang int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+def _share(counts: list[int], total: int) -> float:
+    """The bound for which the counts, cut at it, add up to ``total``."""
+    left = sorted(counts)
+    while left and left[0] * len(left) <= total:
+        total -= left.pop(0)
+    return total / len(left) if left else math.inf
+
+
 def train(df: DataFrame, *, id_col: str = "doc_id", text: str = "text", lang: str = "lang", fit_rows: int = FIT_ROWS) -> Model:
-    """Fit on labelled rows outside the held-out third; expected at most ``fit_rows`` of them."""
-    rows = df.where(F.col(id_col).isNotNull() & F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(id_col))
-    known = rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(LANGUAGES).collect()
-    languages, total = sorted(r[0] for r in known), sum(r[1] for r in known)
+    """Fit on labelled rows outside the held-out third; about ``fit_rows`` of them at most, or one a language."""
+    usable = F.col(id_col).isNotNull() & F.col(lang).isNotNull() & (F.octet_length(text) > 0) & ~held_out(id_col)
+    draw = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(DRAWS))
+    rows = df.where(usable).select(F.col(lang).alias("lang"), F.col(text).alias("text"), draw.alias("draw"))
+    known = sorted(tuple(r) for r in rows.groupBy("lang").agg(F.count(F.lit(1)), F.min("draw")).collect())
+    languages = [x for x, _, _ in known]
     if not languages:
         return Model([], {})
-    if total > fit_rows:
-        rows = rows.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 20)) < math.ceil(fit_rows / total * (1 << 20)))
-    got = _train_counts(rows.select(lang, text), lang, text, languages).toArrow()
+    if sum(n for _, n, _ in known) > fit_rows:
+        most = _share([n for _, n, _ in known], fit_rows)
+        limits = [(x, max(first + 1, math.ceil(min(1, most / n) * DRAWS))) for x, n, first in known]
+        kind = T.StructType([T.StructField("lang", rows.schema["lang"].dataType), T.StructField("below", T.LongType())])
+        rows = rows.join(F.broadcast(df.sparkSession.createDataFrame(limits, kind)), "lang").where("draw < below")
+    got = _train_counts(rows, "lang", "text", languages).toArrow()
     which, code, n = (got.column(c).to_numpy() for c in ("lang", "gram", "n"))
     by = np.lexsort((code, which))
     which, code, n = which[by], code[by].astype(np.uint32), n[by]

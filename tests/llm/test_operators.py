@@ -206,6 +206,18 @@ def test_langid_keeps_bytes_of_rare_scripts(spark):
     assert all(r["lang"] == r["lang_pred"] for r in found)
 
 
+def test_langid_learns_every_language(spark):
+    names = [f"l{k:02}" for k in range(20)]
+    texts = [(t, x) for k, x in enumerate(names) for t in made_texts(k, "abcdefghijklmnopqrstuvwxyz", 200 if k == 0 else 12)]
+    df = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(texts)], "doc_id long, text string, lang string")
+    for fit_rows in (20_000, 100):
+        model = langid.train(df, fit_rows=fit_rows)
+        assert model.languages == names
+        found = langid.predict(df, model, keep=["doc_id", "lang"]).collect()
+        assert sum(r["lang"] == r["lang_pred"] for r in found) >= 0.98 * len(found)
+    assert langid._share([1, 5, 100, 200], 26) == 10
+
+
 def test_warc(spark):
     big, other = "<p>" + "x" * 2000, "é" * 600
     pages = [(1, "u1", big), (2, "u2", big), (3, None, "small"), (4, "u\r\n4", "small"), (5, "u5", None), (6, "u6", ""), (7, "u7", other), (7, "u7", other), (8, "u8", other + "x"), (None, "n", big), (9, "u9", other)]
