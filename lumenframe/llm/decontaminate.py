@@ -4,7 +4,9 @@ The index is sharded by document: each block of documents has its postings, sort
 occurrence of a term of the benchmark. Queries are windows of ten consecutive item words. A window starts with the
 postings of the term that is rarest in the shard, adjusted by the term's offset, and intersects them with the other
 terms' adjusted postings, rarest first; what is left are exact occurrences. Proximity matches are windows whose three
-rarest different terms all stand within SLOP positions of each other, in any order.
+rarest different terms stand in one document, the second and third within SLOP positions of the first, in any order.
+Rarity is a term's number of occurrences in all documents, which are counted first; terms that occur nowhere are left
+out, ties go to the alphabet. So matches don't depend on how documents fall into shards.
 
 All windows are asked of every shard, in groups of at most QUERY_BYTES of item text, whose size is checked before they
 are sent: one group is the usual case; more groups are further narrow passes over the rows, each checkpointed to the
@@ -16,11 +18,13 @@ item without a name (not counted). Repeated documents give repeated rows. Other
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import map_texts, materialize, read, words_of
+from lumenframe.llm.common import blocks, map_texts, materialize, read, words_of
 
 WINDOW = 10
 SLOP = 20
@@ -32,7 +36,7 @@ SHARD_BYTES = 6 << 20
 class Windows:
     """A group's windows: terms by number, and for each window its terms (padded with 0) and its item."""
 
-    def __init__(self, items: list[tuple[str, str]]):
+    def __init__(self, items: list[tuple[str, str]], occurs: dict[str, int] | None = None):
         self.terms: dict[str, int] = {}
         rows, owner, self.names = [], [], [name for name, _ in items]
         seen: dict[tuple[int, ...], int] = {}
@@ -47,6 +51,24 @@ class Windows:
         self.size = np.array([len(r) for r in rows], np.int64)
         self.words = np.array([r + (0,) * (WINDOW - len(r)) for r in rows], np.int64).reshape(-1, WINDOW)
         self.owner = np.array(sorted(set(owner)), np.int64).reshape(-1, 2)
+        self.triples, self.triple_owner = self._rarest(occurs if occurs is not None else {})
+
+    def _rarest(self, occurs: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        """The three rarest different terms of windows, rarest first, each three once; (three, item) of those that ask for it."""
+        present = sorted((n, w) for w, n in occurs.items() if n and w in self.terms)
+        rank = np.full(len(self.terms) + 1, len(present), np.int64)
+        rank[[self.terms[w] for _, w in present]] = np.arange(len(present))
+        ranked = np.sort(rank[self.words], axis=1)
+        # repeats of a term, padding and terms without an occurrence come last
+        ranked[:, 1:][ranked[:, 1:] == ranked[:, :-1]] = len(present)
+        rarest = np.sort(ranked, axis=1)[:, :3]
+        asked = rarest[:, 2] < len(present) if len(rarest) else np.zeros(0, bool)
+        term = np.array([self.terms[w] for _, w in present], np.int64)
+        triples, place = np.unique(rarest[asked], axis=0, return_inverse=True)
+        of_window = np.full(len(self.words), -1)
+        of_window[asked] = place.reshape(-1)
+        pairs = np.stack([of_window[self.owner[:, 0]], self.owner[:, 1]], axis=1)
+        return term[triples] if len(triples) else np.zeros((0, 3), np.int64), np.unique(pairs[pairs[:, 0] >= 0], axis=0)
 
 
 class Shard:
@@ -81,8 +103,8 @@ class Shard:
         ok[ok] = self.keys[at[ok]] == key[ok]
         return ok
 
-    def _starts(self, windows: Windows, order: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the windows ``rows``: each posting of the rarest term, as (row, start of the window, position)."""
+    def _starts(self, windows: Windows, order: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the windows ``rows``: each posting of the rarest term, as (row, start of the window)."""
         offset = order[rows, 0]
         term = windows.words[rows, offset]
         low, high = self.first[term], self.first[term + 1]
@@ -90,57 +112,69 @@ class Shard:
         row = np.repeat(np.arange(len(rows)), n)
         which = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
         position = self.keys[which] - np.repeat(term * self.span, n)
-        return rows[row], position - offset[row], position
+        return rows[row], position - offset[row]
 
     def search(self, windows: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(window, start) of exact occurrences, and (window, position) of proximity matches."""
+        """(window, start) of exact occurrences, and (three terms, document) of proximity matches."""
         count = np.append(self.first[1:] - self.first[:-1], 0)
         count[0] = np.iinfo(np.int64).max  # padding comes last
         order = np.argsort(count[windows.words], axis=1, kind="stable")
-        exact, near = [], []
+        exact = []
         alive = np.flatnonzero((count[windows.words] > 0).all(axis=1))
         # pieces of windows whose rarest terms have a bounded number of postings in all
         load = np.cumsum(count[windows.words[alive, order[alive, 0]]]) if len(alive) else np.zeros(0)
         for piece in np.split(alive, np.flatnonzero(np.diff(load // (1 << 20))) + 1) if len(alive) else []:
-            row, start, position = self._starts(windows, order, piece)
-            r, s = row, start
+            r, s = self._starts(windows, order, piece)
             for k in range(1, WINDOW):
                 used = k < windows.size[r]
                 at = order[r, k]
                 good = ~used | self.has(np.where(used, windows.words[r, at], 0), s + at)
                 r, s = r[good], s[good]
             exact.append((r, s))
-            near.append(self._near(windows, order, row, position))
-        joined = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (*(zip(*exact) if exact else ((), ())), *(zip(*near) if near else ((), ())))]
-        return tuple(joined)
-
-    def _near(self, windows: Windows, order: np.ndarray, row: np.ndarray, position: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        doc = self.of_doc(position)
-        low, high = self.start[doc], self.start[doc] + np.array(self.n_words, np.int64)[doc] - 1
-        ok = windows.size[row] >= 3
-        for k in (1, 2):
-            term = windows.words[row, order[row, min(k, WINDOW - 1)]]
-            begin = np.maximum(position - SLOP, low)
-            end = np.minimum(position + SLOP, high)
-            ok &= np.searchsorted(self.keys, term * self.span + begin) < np.searchsorted(self.keys, term * self.span + end, side="right")
-        return row[ok], position[ok]
+        return (*(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (zip(*exact) if exact else ((), ()))), *self.near(windows.triples))
+
+    def near(self, triples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(three terms, document), each pair once, where the second and third term stand within SLOP of the first."""
+        count = self.first[1:] - self.first[:-1]
+        alive = np.flatnonzero((count[triples] > 0).all(axis=1))
+        load = np.cumsum(count[triples[alive, 0]])
+        found = [np.zeros((0, 2), np.int64)]
+        length = np.array(self.n_words, np.int64)
+        for piece in np.split(alive, np.flatnonzero(np.diff(load // (1 << 20))) + 1) if len(alive) else []:
+            low = self.first[triples[piece, 0]]
+            n = count[triples[piece, 0]]
+            row = np.repeat(piece, n)
+            which = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+            position = self.keys[which] - triples[row, 0] * self.span
+            doc = self.of_doc(position)
+            for k in (1, 2):
+                base = triples[row, k] * self.span
+                begin = np.maximum(position - SLOP, self.start[doc])
+                end = np.minimum(position + SLOP, self.start[doc] + length[doc] - 1)
+                at = np.searchsorted(self.keys, base + begin)
+                good = at < len(self.keys)
+                good[good] = self.keys[at[good]] <= (base + end)[good]
+                row, position, doc = row[good], position[good], doc[good]
+            found.append(np.unique(np.stack([row, doc], axis=1), axis=0))
+        row, doc = np.concatenate(found).T
+        return row, doc
 
 
 def search_block(windows: Windows, texts: list[str | None]) -> dict[str, list]:
     """Per document: its number of words, ranges of hit words, items with exact and with proximity matches."""
     shard = Shard(texts, windows.terms)
-    row, start, near_row, near_at = shard.search(windows)
+    row, start, near_row, near_doc = shard.search(windows)
     out = {"n_words": shard.n_words, "ranges": [[] for _ in texts], "items": [[] for _ in texts], "near": [[] for _ in texts]}
 
-    def items(rows, docs, name):
+    def items(rows, docs, name, owner):
         pairs = np.unique(np.stack([docs, rows], axis=1), axis=0)
-        low, high = np.searchsorted(windows.owner[:, 0], pairs[:, 1]), np.searchsorted(windows.owner[:, 0], pairs[:, 1], side="right")
+        low, high = np.searchsorted(owner[:, 0], pairs[:, 1]), np.searchsorted(owner[:, 0], pairs[:, 1], side="right")
         for d, a, b in zip(pairs[:, 0].tolist(), low.tolist(), high.tolist()):
-            out[name][d] += [windows.names[k] for k in windows.owner[a:b, 1].tolist()]
+            out[name][d] += [windows.names[k] for k in owner[a:b, 1].tolist()]
 
     if len(row):
         docs = shard.of_doc(start)
-        items(row, docs, "items")
+        items(row, docs, "items", windows.owner)
         begin = start - shard.start[docs]
         by = np.lexsort((begin, docs))
         for d, a, n in zip(docs[by].tolist(), begin[by].tolist(), windows.size[row[by]].tolist()):
@@ -150,7 +184,7 @@ def search_block(windows: Windows, texts: list[str | None]) -> dict[str, list]:
             else:
                 ranges.append([a, a + n])
     if len(near_row):
-        items(near_row, shard.of_doc(near_at), "near")
+        items(near_row, near_doc, "near", windows.triple_owner)
     return out
 
 
@@ -171,18 +205,36 @@ def _groups(benchmark: DataFrame, item: str, text: str, limit: int):
         yield held
 
 
+def occurrences(df: DataFrame, text: str, terms: set[str]) -> dict[str, int]:
+    """How often each term occurs in all documents; rows come back for no more than the terms."""
+    sent = df.sparkSession.sparkContext.broadcast(terms)
+
+    def run(batches):
+        import pyarrow as pa
+
+        own, total = sent.value, Counter()
+        for block in blocks(batches, text, SHARD_BYTES):
+            for t in block.column(text).to_pylist():
+                total.update(w for w in words_of(t) if w in own)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["term", "n"])
+
+    counted = df.select(text).mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return {r["term"]: r["n"] for r in counted.toLocalIterator()}
+
+
 def find_matches(df: DataFrame, benchmark: DataFrame, *, keep: list[str], text: str = "text", item: str = "item_id", item_text: str = "text", query_bytes: int = QUERY_BYTES) -> DataFrame:
     """``keep`` and ``match``: struct of n_words, ranges (array of [begin, end)), items, near (item names). One row per row."""
     kind = "match struct<n_words: bigint, ranges: array<array<bigint>>, items: array<string>, near: array<string>>"
     spark = df.sparkSession
     groups = list(_groups(benchmark, item, item_text, query_bytes))
-    sent = [spark.sparkContext.broadcast(g) for g in groups]
+    counted = [occurrences(df, text, {w for _, t in g for w in words_of(t)}) if g else {} for g in groups]
+    sent = [spark.sparkContext.broadcast(x) for x in zip(groups, counted)]
     rows = df
     for i, group in enumerate(sent):
         last = i == len(sent) - 1
 
         def make(group=group):
-            windows = Windows(group.value)
+            windows = Windows(*group.value)
 
             def block(texts):
                 found = search_block(windows, texts)

@@ -122,6 +122,17 @@ def test_proximity(spark):
     assert got == [(1, 1), (0, 1), (0, 0)]
 
 
+def test_proximity_of_near_copies(spark):
+    text = " ".join(f"w{i}" for i in range(10))
+    bench = spark.createDataFrame([(1, text), (2, "x x x y y y x x y y")], "item_id long, text string")
+    # one word replaced, which may stand in a document far away or nowhere; no three different terms
+    rows = [(1, text.replace("w5", "other")), (2, "x x x y y y x"), (3, "w5 w5 w5 and nothing else"), (4, "w1 " + "z " * 50 + "w2 w3")]
+    for given, parts in ((rows, 4), (rows, 1), (rows[:2], 1)):
+        docs = spark.createDataFrame(given, "doc_id long, text string").repartition(parts)
+        got = [tuple(r) for r in decontaminate.contamination(docs, bench).orderBy("doc_id").select("n_items", "n_near_items").collect()]
+        assert got == [(0, 1), (0, 0), (0, 0), (0, 0)][: len(given)]
+
+
 def luhn(s):
     d = [int(c) for c in s][::-1]
     return sum(x if i % 2 == 0 else (2 * x - 9 if 2 * x > 9 else 2 * x) for i, x in enumerate(d)) % 10 == 0
