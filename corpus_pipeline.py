@@ -10,10 +10,14 @@ from lumenframe.llm.common import new_path, read, renamed
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go: null texts and those without a letter."""
+    """Null texts and those without a letter go; where no model could be trained, by the same test of letters."""
     rows, text = renamed(docs)
-    found = langid.predict(rows, langid.train(docs), text=text, keep=rows.columns)
-    return found.where(F.col("lang_pred") != "und").select(*rows.columns).toDF(*docs.columns)
+    model = langid.train(docs)
+    if model.languages:
+        kept = langid.predict(rows, model, text=text, keep=rows.columns).where(F.col("lang_pred") != "und")
+    else:
+        kept = langid.lettered(rows, text=text, keep=rows.columns).where("lettered")
+    return kept.select(*rows.columns).toDF(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -232,6 +232,11 @@ def predict(df: DataFrame, model: Model, *, text: str = "text", keep: list[str])
     return map_texts(df, text, None, "lang_pred string, score double, bits_per_byte double", keep, make=make)
 
 
+def lettered(df: DataFrame, *, text: str = "text", keep: list[str]) -> DataFrame:
+    """``keep`` and lettered: whether the text has a letter, which every text with a prediction has."""
+    return map_texts(df, text, lambda texts: {"lettered": [bool(t and _LETTER.search(t)) for t in texts]}, "lettered boolean", keep)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     found = predict(docs, train(docs), keep=["doc_id"])

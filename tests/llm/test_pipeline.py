@@ -37,5 +37,10 @@ def test_stages(spark):
         assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
 
 
+def test_language_without_a_model(spark):
+    docs = spark.createDataFrame([(1, "plain words", None), (2, "12 34", None), (3, None, None)], "doc_id long, text string, lang string")
+    assert [r["doc_id"] for r in corpus_pipeline.language(spark, docs, SF).collect()] == [1]
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
