@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import tempfile
 import uuid
@@ -34,14 +35,20 @@ def lower_col(col):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; where the cluster names none (tests), a local one is set."""
+    """The folder that driver and executors share; a local master that names none gets a temporary one, any other is refused."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="lumenframe-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        base = _local_dir()
     return base.rstrip("/")
 
 
+@functools.cache
+def _local_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="lumenframe-")
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lumenframe/{name}-{uuid.uuid4().hex}"
 
@@ -53,6 +60,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame | None) -> None:
+    """Delete a table that :func:`materialize` wrote, once nothing reads it any more."""
+    if df is not None:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            drop_table(df.sparkSession, folder)
+
+
 def drop_table(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared store through Hadoop's file system."""
     jvm = spark.sparkContext._jvm
@@ -60,6 +74,12 @@ def drop_table(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written there to its end."""
+    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
+
+
 def blocks(batches: Iterator[pa.RecordBatch], text: str, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of consecutive rows with at most ``limit`` bytes of text each, or a single row."""
     for batch in batches:
@@ -88,7 +108,7 @@ def map_texts(df: DataFrame, text: str, fn: Callable[[list[str | None]], dict[st
     """
     more = T.StructType.fromDDL(added) if isinstance(added, str) else added
     out = T.StructType([df.schema[k] for k in keep] + list(more))
-    cols = list(dict.fromkeys([*keep, text]))
+    cols = [quoted(c) for c in dict.fromkeys([*keep, text])]
 
     def run(batches):
         use = make() if make else fn
@@ -104,6 +124,11 @@ def map_texts(df: DataFrame, text: str, fn: Callable[[list[str | None]], dict[st
     return df.select(*cols).mapInArrow(run, out)
 
 
+def quoted(name: str) -> str:
+    """A column's name as an identifier, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def renamed(df: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
     """The frame with neutral column names, which no added column can clash with, and its text's new name; ``toDF(*names)`` undoes it."""
     names = [f"__c{i}" for i in range(len(df.columns))]
