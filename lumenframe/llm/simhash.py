@@ -10,8 +10,9 @@ components: each round every fingerprint takes the least neighbour (by a mixed o
 left. No fingerprint, link or component is collected.
 
 Null and empty texts have no words, hence fingerprint zero, linked like any other. Repeated rows give repeated rows.
-Null ids are never the least id; a component of null ids only has a null component_id. Empty tables give no rows. Other
-columns are not read.
+Null ids are never the least id; a component of null ids only has a null component_id; ties between rows of one id go to
+the least hash of the text. Empty tables give no rows; a very long text is a block of its own. Ids may be of any ordered
+type. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import ascii_lower, map_texts, materialize, read
+from lumenframe.llm.common import ascii_lower, discard, map_texts, materialize, quoted, read
 
 SHINGLE = 3
 BUDGET = 2
@@ -201,18 +202,22 @@ def components(edges: DataFrame) -> DataFrame:
     vertex mixes, so that even a long chain shrinks by a constant factor; edges between equal names go.
     """
     edges = materialize(edges.where("a != b"), "links")
-    names, step = None, 0
+    names, step, old = None, 0, []
     while not edges.isEmpty():
         both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a")))
         order = lambda c: F.struct(F.xxhash64(F.lit(step), F.col(c)).alias("h"), F.col(c).alias("v"))  # noqa: B023, E731
         least = both.groupBy("a").agg(F.min(order("b")).alias("m"))
         to = materialize(least.select(F.col("a").alias("v"), F.least("m", order("a"))["v"].alias("to")), "names")
         named = edges.join(to.toDF("a", "x"), "a").join(to.toDF("b", "y"), "b").where("x != y")
+        old.append(edges)
         if names is None:
             names = to.toDF("fp", "root")
         else:
+            old += [names, to]
             names = materialize(names.join(to.toDF("root", "to"), "root", "left").select("fp", F.coalesce("to", "root").alias("root")), "roots")
         edges = materialize(named.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
+        while old:  # what this round has read is not needed any more
+            discard(old.pop())
         step += 1
     if names is None:
         return edges.select(F.col("a").alias("fp"), F.col("b").alias("root"))
@@ -221,27 +226,32 @@ def components(edges: DataFrame) -> DataFrame:
 
 def simhash_groups(df: DataFrame, *, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
     """One row per row: id, fingerprint (16 hex digits), component_id."""
-    prints = materialize(fingerprints(df, [id_col], text, shingle), "fingerprints")
-    distinct = prints.groupBy("fp").agg(F.min(id_col).alias("least"))
+    rows = df.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text)).alias("text"))
+    prints = materialize(fingerprints(rows, ["id"], "text", shingle), "fingerprints")
+    distinct = prints.groupBy("fp").agg(F.min("id").alias("least"))
     distinct = materialize(distinct, "distinct")
     rooted = distinct.join(components(links(distinct, budget)), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = materialize(rooted, "rooted")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
     labels = materialize(labels, "labels")
-    return prints.join(labels, "fp", "left").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints.join(labels, "fp", "left").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each_group(df: DataFrame, *, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
-    """The rows whose id is the least of their group, one row a group (the least text hash of equal ids); columns stay."""
+    """The rows whose id is the least of their group, one row a group (the least text hash of equal ids); columns stay, whatever their names."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    rows = df.toDF(*names)
+    own_id, own_text = names[df.columns.index(id_col)], names[df.columns.index(text)]
     # null ids come last; equal rows share a key and are told apart only after they have met
-    key = {"__none": F.col(id_col).isNull(), "__id": F.coalesce(F.col(id_col), F.lit(0)), "__hash": F.xxhash64(F.col(text))}
-    keyed = df.withColumns(key)
-    prints = materialize(fingerprints(keyed.select(*key, text), list(key), text, shingle), "fingerprints")
+    key = {"none": F.col(own_id).isNull(), "id": F.col(own_id), "hash": F.xxhash64(own_text)}
+    keyed = rows.withColumns(key)
+    prints = materialize(fingerprints(keyed.select(*key, own_text), list(key), own_text, shingle), "fingerprints")
     distinct = materialize(prints.groupBy("fp").agg(F.min(F.struct(*key)).alias("least")), "distinct")
     rooted = distinct.join(components(links(distinct, budget)), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    first = rooted.groupBy("root").agg(F.min("least").alias("least")).select("least.*")
-    return keyed.join(first, list(key), "left_semi").dropDuplicates(list(key)).select(*df.columns)
+    first = rooted.groupBy("root").agg(F.min("least").alias("least")).select(*[F.col(f"least.{k}").alias(f"first_{k}") for k in key])
+    same = [F.col(k).eqNullSafe(F.col(f"first_{k}")) for k in key]
+    return keyed.join(first, same, "left_semi").dropDuplicates(list(key)).select(*names).toDF(*df.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
