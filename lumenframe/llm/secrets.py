@@ -1,18 +1,23 @@
 """Operator 8 [native]: secret scan by a trigram inverted index.
 
 Each rule's regular expression yields a Boolean query of the trigrams that every match must hold (Python's parser of
-patterns does this once, when the plan is built). The index has a posting (row key, trigram) for each trigram of the
-queries that a text holds; postings are gathered by row key and the queries are evaluated over them. Only candidates
-run a rule's expression. A rule without mandatory trigrams (``hex``) scans every text. DataFrame functions only.
-
-A row key is a hash of id and text. Keys that collide only add candidates, which are verified. Trigrams are taken over
-texts with A-Z lower-cased, which makes queries of case-sensitive rules weaker, never wrong.
-
-Null and empty texts have no spans; repeated rows give repeated rows; null ids are allowed. Other columns are not read.
+patterns does this once, when the plan is built). The index is a written table of postings (trigram, text's digest) for
+the queries' trigrams. A query becomes alternatives of trigrams that must all be held; each begins with the postings of
+its rarest trigram and intersects them with the others' postings. Only candidates run a rule's expression. A rule
+without mandatory trigrams (``hex``) scans every text where it lies. DataFrame functions only.
+
+Spans depend on the text alone, so that texts are known by their MD5: postings, candidates and spans move as digests, and
+of the texts only those of candidates may move. Spark picks each join by the written tables' sizes. Trigrams are taken
+over texts with A-Z lower-cased, which makes queries of case-sensitive rules weaker, never wrong.
+
+Null and empty texts have no spans; repeated rows give repeated rows; null ids are allowed. Spans are ordered by start,
+ties by the rules' order. An empty table gives no rows. A very long text is matched whole, in one row's expression. Other
+columns are not read.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 import re._constants as sre
 import re._parser as parser
@@ -21,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import lower_col, read
+from lumenframe.llm.common import lower_col, materialize, quoted, read
 
 
 @dataclass(frozen=True)
@@ -148,36 +153,53 @@ def trigrams(query) -> set[str]:
     return set() if query is None else {query} if isinstance(query, str) else set().union(*map(trigrams, query[1]))
 
 
-def satisfied(query, held: Column) -> Column:
-    """The query over an array of the trigrams that a text holds."""
+def conjunctions(query) -> list[frozenset[str]]:
+    """The query as alternatives, each a set of trigrams that must all be held."""
     if isinstance(query, str):
-        return F.array_contains(held, query)
-    parts = sorted(query[1], key=str)
-    out = satisfied(parts[0], held)
-    for q in parts[1:]:
-        out = out & satisfied(q, held) if query[0] == "and" else out | satisfied(q, held)
-    return out
+        return [frozenset({query})]
+    parts = [conjunctions(q) for q in sorted(query[1], key=str)]
+    if query[0] == "or":
+        return list(dict.fromkeys(c for p in parts for c in p))
+    return list(dict.fromkeys(frozenset().union(*choice) for choice in itertools.product(*parts)))
 
 
-def row_key(id_col: str, text: str) -> Column:
-    return F.xxhash64(F.col(id_col), F.col(text))
+def digest(text: str = "text") -> Column:
+    return F.unhex(F.md5(F.col(text)))
 
 
-def postings(df: DataFrame, wanted: set[str], id_col: str, text: str) -> DataFrame:
-    """(row key, trigram): one for each wanted trigram that a text holds."""
+def postings(df: DataFrame, wanted: set[str], text: str = "text") -> DataFrame:
+    """The index: (trigram, digest) for each wanted trigram that a text holds."""
     low = lower_col(F.col(text))
-    held = df.where(F.length(text) > 0).select(row_key(id_col, text).alias("__key"), low.alias("low"))
+    held = df.where(F.length(text) > 0).select(digest(text).alias("digest"), low.alias("low"))
     tests = F.array_compact(F.array(*[F.when(F.col("low").contains(t), F.lit(t)) for t in sorted(wanted)]))
-    return held.select("__key", F.explode(tests).alias("trigram"))
+    return held.select(F.explode(tests).alias("trigram"), "digest")
+
+
+def small_table(spark: SparkSession, kind: str, rows: list[tuple]) -> DataFrame:
+    """Literal rows."""
+    return spark.range(1).select(F.inline(F.array(*[F.struct(*map(F.lit, r)) for r in rows]).cast(f"array<struct<{', '.join(f'{n}: {t}' for n, t in (c.split() for c in kind.split(', ')))}>>")))
 
 
-def candidates(df: DataFrame, rules: tuple[Rule, ...], id_col: str, text: str) -> DataFrame:
-    """(row key, kinds): rules whose query the row's postings satisfy."""
+def candidates(df: DataFrame, rules: tuple[Rule, ...], text: str = "text") -> DataFrame:
+    """(digest, kinds): the rules whose query a text's postings satisfy.
+
+    Each alternative of a query begins with the postings of its rarest trigram and intersects them with those of its
+    others. The tables of rules and trigrams have a fixed size; postings and seeds are written.
+    """
+    spark = df.sparkSession
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern)) is not None}
-    index = postings(df, set().union(*map(trigrams, queries.values())), id_col, text)
-    held = index.groupBy("__key").agg(F.collect_set("trigram").alias("held"))  # at most as many as the queries have
-    kinds = F.array_compact(F.array(*[F.when(satisfied(q, F.col("held")), F.lit(k)) for k, q in queries.items()]))
-    return held.select("__key", kinds.alias("__kinds")).where(F.size("__kinds") > 0)
+    lists = [(kind, terms) for kind, q in queries.items() for terms in conjunctions(q)]
+    index = materialize(postings(df, set().union(*(terms for _, terms in lists)), text), "postings")
+    count = {r["trigram"]: r["n"] for r in index.groupBy("trigram").agg(F.count(F.lit(1)).alias("n")).collect()}  # no more than the rules have
+    lists = [(i, kind, sorted(terms, key=lambda t: (count[t], t))) for i, (kind, terms) in enumerate(lists) if terms <= count.keys()]
+    first = small_table(spark, "part int, trigram string", [(i, terms[0]) for i, _, terms in lists])
+    rest = small_table(spark, "part int, trigram string, bit long", [(i, t, 1 << k) for i, _, terms in lists for k, t in enumerate(terms[1:])])
+    whole = small_table(spark, "part int, kind string, all long", [(i, kind, (1 << len(terms) - 1) - 1) for i, kind, terms in lists])
+    seeds = materialize(index.join(F.broadcast(first), "trigram").select("part", "digest").distinct(), "seeds")
+    others = index.join(F.broadcast(rest), "trigram").select("part", "digest", "bit").join(seeds, ["part", "digest"], "left_semi")
+    held = seeds.select("part", "digest", F.lit(0).cast("long").alias("bit")).union(others).groupBy("part", "digest").agg(F.bit_or("bit").alias("held"))
+    sure = held.join(F.broadcast(whole), "part").where(F.col("held") == F.col("all"))
+    return materialize(sure.groupBy("digest").agg(F.collect_set("kind").alias("kinds")), "candidates")
 
 
 def matches(text: Column, rule: Rule) -> Column:
@@ -202,19 +224,29 @@ def matches(text: Column, rule: Rule) -> Column:
     return F.aggregate(steps, start, step, lambda acc: acc["out"])
 
 
-def with_spans(df: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` and ``__spans`` (array of start, kind's place, end; sorted), one row per input row."""
+def found_spans(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
+    """(digest, spans: array of start, kind's place, end; sorted) of every text that has any, written.
+
+    Rules without a query scan each text where it lies; the others meet the texts of their candidates.
+    """
+    indexed = [r for r in rules if trigram_query(r.pattern) is not None]
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
-    held = dict.fromkeys([*keep, text])
-    rows = df.select(*held, row_key(id_col, text).alias("__key")).join(candidates(df, rules, id_col, text), "__key", "left")
-    spans = []
-    for r in rules:
-        if trigram_query(r.pattern) is None:
-            hit = F.col(text).rlike(f"[0-9a-f]{{{r.least}}}") if r.kind == "hex" else F.length(text) > 0
-        else:
-            hit = F.array_contains(F.col("__kinds"), r.kind)
-        spans.append(F.when(hit, matches(F.col(text), r)).otherwise(none))
-    return rows.select(*keep, F.array_sort(F.concat(*spans)).alias("__spans"))
+    hit = lambda r: F.col(text).rlike(f"[0-9a-f]{{{r.least}}}") if r.kind == "hex" else F.length(text) > 0
+    scanned = [F.when(hit(r), matches(F.col(text), r)).otherwise(none) for r in rules if r not in indexed]
+    asked = df.select(digest(text).alias("digest"), text).join(candidates(df, rules, text), "digest")
+    verified = [F.when(F.array_contains("kinds", r.kind), matches(F.col(text), r)).otherwise(none) for r in indexed]
+    parts = [(df.select(digest(text).alias("digest"), text), scanned), (asked, verified)]
+    spans = [rows.select("digest", F.concat(*each).alias("spans")).where(F.size("spans") > 0).dropDuplicates(["digest"]) for rows, each in parts if each]
+    both = spans[0] if len(spans) == 1 else spans[0].union(spans[1])
+    return materialize(both.groupBy("digest").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans")), "spans")  # two rows a text at most
+
+
+def with_spans(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep`` as c0, c1, .. and ``spans`` (empty without a match), one row per input row."""
+    rows = df.select(*[F.col(quoted(k)).alias(f"c{i}") for i, k in enumerate(keep)], digest(quoted(text)).alias("digest"))
+    found = found_spans(df.select(F.col(quoted(text)).alias("text")), rules)
+    none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
+    return rows.join(found, "digest", "left").select(*[f"c{i}" for i in range(len(keep))], F.coalesce("spans", none).alias("spans"))
 
 
 def spans_text(spans: Column) -> Column:
@@ -224,25 +256,27 @@ def spans_text(spans: Column) -> Column:
 
 def scan_secrets(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, counts of the base kinds, base_sha256, spans."""
-    found = with_spans(df, RULES, id_col, text, (id_col,))
-    base = F.filter("__spans", lambda s: s["kind"] < len(BASE))
-    count = lambda k: F.size(F.filter("__spans", lambda s: s["kind"] == k)).cast("long")
+    found = with_spans(df, RULES, text, (id_col,))
+    base = F.filter("spans", lambda s: s["kind"] < len(BASE))
+    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
     return found.select(
-        id_col, *[count(i).alias(f"n_{r.kind}") for i, r in enumerate(BASE)], F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(F.col("__spans")).alias("spans"),
+        F.col("c0").alias(id_col), *[count(i).alias(f"n_{r.kind}") for i, r in enumerate(BASE)], F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"),
     )
 
 
-def redact(df: DataFrame, id_col: str = "doc_id", text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """The rows with every span replaced by ``mark``; overlapping spans are replaced once. Columns stay as they are."""
-    found = with_spans(df, RULES, id_col, text, tuple(df.columns))
+def redact(df: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
+    """The rows with every span replaced by ``mark``; overlapping spans are replaced once. Columns stay as they are, whatever their names."""
+    found = with_spans(df, RULES, text, tuple(df.columns))
     at = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    own = F.col(f"c{df.columns.index(text)}")
 
     def step(acc, s):
-        before = F.substring(F.col(text), (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
+        before = F.substring(own, (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], F.concat(acc["out"], before, F.lit(mark))).otherwise(acc["out"]).alias("out"))
 
-    clean = F.aggregate("__spans", at, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text), (acc["at"] + 1).cast("int"), F.length(text))))
-    return found.withColumn(text, F.when(F.size("__spans") > 0, clean).otherwise(F.col(text))).select(*df.columns)
+    clean = F.aggregate("spans", at, step, lambda acc: F.concat(acc["out"], F.substring(own, (acc["at"] + 1).cast("int"), F.length(own))))
+    out = [F.when(F.size("spans") > 0, clean).otherwise(own) if c == text else F.col(f"c{i}") for i, c in enumerate(df.columns)]
+    return found.select(*[c.alias(n) for c, n in zip(out, df.columns)])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
