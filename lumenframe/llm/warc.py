@@ -3,14 +3,16 @@
 Payloads are stored once each under their SHA-256; record headers are stored apart, byte for byte, with the digest of
 their payload. Reading joins the two: a payload is accepted only if its bytes give the digest it is stored under (else
 the read fails), and a response record is its header, the payload and the closing line breaks. A revisit record has no
-block of its own. DataFrame functions only.
+block of its own. The query takes its rows from the rebuilt records' bytes. DataFrame functions only, but for
+``write_files``, which writes the records as .warc.gz files.
 
 Of the records with equal payloads of at least REVISIT_BYTES bytes the one with the largest id is the response and the
 others revisit it; smaller payloads are all responses. Payload bytes are shuffled once to be stored, with the one row of
 each group that stands for it (so that a large group of copies is not gathered in a task), and once to be joined.
 
-Null payloads are empty. Null ids sort before all others; of repeated rows with the largest id all are responses.
-Repeated rows give repeated records. Null URLs give an empty target. Other columns are not read.
+Null payloads are empty. Ids may be of any ordered type that can be cast from a string. Null ids sort before all others;
+of repeated rows with the largest id all are responses. Repeated rows give repeated records. Null URLs give an empty
+target. An empty table gives an empty archive. A very long payload is one row. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import new_path, read
+from lumenframe.llm.common import materialize, new_path, quoted, read
 
 REVISIT_BYTES = 1000
 CRLF = "\r\n"
@@ -41,7 +43,7 @@ def _header(kind: Column) -> Column:
         F.concat(F.lit("WARC-Record-ID: "), _uuid(F.col("page_id"))),
         F.lit(f"WARC-Date: {DATE}"),
         F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace(F.coalesce("url", F.lit("")), "[\\r\\n]", " ")),
-        F.concat(F.lit("X-Page-ID: "), F.coalesce(F.col("page_id").cast("string"), F.lit(""))),
+        F.concat(F.lit("X-Page-ID: "), F.col("page_id").cast("string")),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("sha1")),
         F.when(revisit, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
         F.when(revisit, F.concat(F.lit("WARC-Refers-To: "), _uuid(F.col("refers_to")))),
@@ -54,8 +56,8 @@ def _header(kind: Column) -> Column:
 
 def write_archive(pages: DataFrame, path: str, *, id_col: str = "page_id", url: str = "url", payload: str = "html") -> None:
     """Write ``path``/payloads (digest, payload) and ``path``/headers (page_id, header, digest)."""
-    body = F.coalesce(F.col(payload).cast("binary"), F.lit("").cast("binary"))
-    full = pages.select(F.col(id_col).alias("page_id"), F.col(url).alias("url"), body.alias("payload"))
+    body = F.coalesce(F.col(quoted(payload)).cast("binary"), F.lit("").cast("binary"))
+    full = pages.select(F.col(quoted(id_col)).alias("page_id"), F.col(quoted(url)).alias("url"), body.alias("payload"))
     keyed = full.withColumn("digest", F.unhex(F.sha2("payload", 256)))
     brief = keyed.select("page_id", "url", "digest", F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("size"))
     brief.write.option("compression", "zstd").parquet(f"{path}/brief")
@@ -73,41 +75,88 @@ def write_archive(pages: DataFrame, path: str, *, id_col: str = "page_id", url:
     joined.select("page_id", _header(kind).cast("binary").alias("header"), "digest").write.option("compression", "zstd").parquet(f"{path}/headers")
 
 
-def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, header, payload (verified; a revisit's is that of the record it refers to), for each record."""
-    stored = spark.read.schema("digest binary, payload binary").parquet(f"{path}/payloads")
+def _table(spark: SparkSession, path: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/{name}")
+
+
+def _verified(stored: DataFrame) -> DataFrame:
     bad = F.raise_error(F.concat(F.lit("payload differs from its digest "), F.hex("digest"))).cast("binary")
-    verified = stored.select("digest", F.when(F.unhex(F.sha2("payload", 256)) == F.col("digest"), F.col("payload")).otherwise(bad).alias("payload"))
-    headers = spark.read.schema("page_id long, header binary, digest binary").parquet(f"{path}/headers")
-    return headers.join(verified, "digest").select("page_id", "header", "payload")
+    return stored.select("digest", F.when(F.unhex(F.sha2("payload", 256)) == F.col("digest"), F.col("payload")).otherwise(bad).alias("payload"))
+
+
+def read_archive(spark: SparkSession, path: str) -> DataFrame:
+    """page_id, digest, header, payload (verified), for each record; a revisit has no payload of its own: its digest names it.
+
+    Payloads meet the headers of responses only, so that copies of a large one don't multiply it.
+    """
+    headers = _table(spark, path, "headers")
+    revisit = field("WARC-Type") == "revisit"
+    none = F.lit(None).cast("binary")
+    responses = headers.where(~revisit).join(_verified(_table(spark, path, "payloads")), "digest").select("page_id", "digest", "header", "payload")
+    return responses.union(headers.where(revisit).select("page_id", "digest", "header", none.alias("payload")))
 
 
 def field(name: str) -> Column:
-    """A header field's value."""
+    """A header field's value, empty without one."""
     return F.regexp_extract(F.col("header").cast("string"), rf"\r\n{name}: ([^\r]*)", 1)
 
 
 def records(archive: DataFrame) -> DataFrame:
-    """page_id and record: the original bytes."""
-    block = F.when(field("WARC-Type") == "revisit", F.lit("").cast("binary")).otherwise(F.col("payload"))
-    return archive.select("page_id", F.concat("header", block, F.lit(CRLF * 2).cast("binary")).alias("record"))
+    """page_id, digest and record: the original bytes."""
+    return archive.select("page_id", "digest", F.concat("header", F.coalesce("payload", F.lit("").cast("binary")), F.lit(CRLF * 2).cast("binary")).alias("record"))
+
+
+def parsed(rebuilt: DataFrame) -> DataFrame:
+    """digest, header and block of rebuilt records, taken apart again at the first empty line; one that isn't closed or differs from its header fails."""
+    end = F.instr(F.decode("record", "ISO-8859-1"), CRLF * 2) + 3  # a character a byte
+    size = F.octet_length("record") - 4
+    cut = rebuilt.select("page_id", "digest", F.substring("record", F.lit(1), end).alias("header"), F.substring("record", end + 1, size - end).alias("block"), F.substring("record", size + 1, F.lit(4)).alias("last"))
+    response = field("WARC-Type") == "response"
+    wrong = (F.col("last") != F.lit(CRLF * 2).cast("binary")) | (field("Content-Length") != F.octet_length("block").cast("string")) | (response & (field("WARC-Payload-Digest") != F.concat(F.lit("sha1:"), F.sha1("block"))))
+    bad = F.raise_error(F.concat(F.lit("record differs from its header: "), F.coalesce(F.col("page_id").cast("string"), F.lit("null")))).cast("binary")
+    return cut.select("digest", "header", F.when(wrong, bad).otherwise(F.col("block")).alias("block"))
 
 
 def archive_index(spark: SparkSession, path: str) -> DataFrame:
-    """What each record says and holds, from its header and the payload joined to it."""
-    stored = spark.read.schema("digest binary, payload binary").parquet(f"{path}/payloads")
-    bad = F.raise_error(F.concat(F.lit("payload differs from its digest "), F.hex("digest"))).cast("string")
-    # measured beside the stored bytes, so that the join moves numbers instead of payloads
-    stats = stored.select("digest", F.when(F.unhex(F.sha2("payload", 256)) == F.col("digest"), F.sha1("payload")).otherwise(bad).alias("sha1"), F.octet_length("payload").cast("long").alias("size"))
-    headers = spark.read.schema("page_id long, header binary, digest binary").parquet(f"{path}/headers")
-    said = headers.join(stats, "digest")
-    wrong = (field("WARC-Payload-Digest") != F.concat(F.lit("sha1:"), F.col("sha1"))) | ((field("WARC-Type") == "response") & (field("Content-Length") != F.col("size").cast("string")))
-    sure = F.when(wrong, F.raise_error(F.concat(F.lit("record differs from its header: "), F.coalesce(F.col("page_id").cast("string"), F.lit("null")))).cast("string"))
-    page = F.when(field("X-Page-ID") != "", field("X-Page-ID").cast("long"))
-    return said.select(
-        page.alias("page_id"), F.col("size").alias("payload_bytes"), F.coalesce(sure, F.col("sha1")).alias("payload_digest"),
-        field("WARC-Type").alias("record_type"), F.when(field("WARC-Type") == "revisit", F.expr("try_cast(nullif(regexp_extract(cast(header as string), '\\r\\nX-Refers-To-Page: ([^\\r]*)', 1), '') as bigint)")).alias("refers_to"),
+    """What each rebuilt record says and holds; of a revisit's payload, the size and digest of the response that holds it."""
+    archive = read_archive(spark, path)
+    kind = archive.schema["page_id"].dataType
+    number = lambda name: F.when(F.col("header").cast("string").contains(f"{CRLF}{name}: "), field(name)).cast(kind)
+    said = parsed(records(archive)).select(
+        "digest", number("X-Page-ID").alias("page_id"), field("WARC-Type").alias("record_type"), number("X-Refers-To-Page").alias("refers_to"),
+        F.octet_length("block").cast("long").alias("payload_bytes"), F.regexp_extract(field("WARC-Payload-Digest"), "^sha1:(.*)$", 1).alias("payload_digest"),
     )
+    said = materialize(said, "said")  # numbers and digests: the records themselves are read once
+    columns = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    held = said.where("record_type = 'response'").groupBy("digest").agg(F.max("payload_bytes").alias("payload_bytes"))
+    revisits = said.where("record_type = 'revisit'").drop("payload_bytes").join(held, "digest")
+    return said.where("record_type = 'response'").select(*columns).union(revisits.select(*columns))
+
+
+def write_files(rebuilt: DataFrame, folder: str, name: str = "part") -> DataFrame:
+    """Write rebuilt records as .warc.gz files, a gzip member each, one file for each partition; (file, records) come back once they are asked for.
+
+    The folder is a URI that executors reach. A task that runs again writes its file again.
+    """
+
+    def run(batches):
+        import gzip
+
+        import pyarrow as pa
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        store, base = fs.FileSystem.from_uri(folder)
+        store.create_dir(base, recursive=True)
+        file, n = f"{base}/{name}-{TaskContext.get().partitionId():06}.warc.gz", 0
+        with store.open_output_stream(file, compression=None) as out:
+            for batch in batches:
+                for record in batch.column(0):
+                    out.write(gzip.compress(record.as_py(), mtime=0))
+                    n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([n], pa.int64())], names=["file", "records"])
+
+    return rebuilt.select("record").mapInArrow(run, "file string, records long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
