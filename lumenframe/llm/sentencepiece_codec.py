@@ -3,13 +3,13 @@
 Method: a score-ordered agenda of adjacent symbol pairs. Each text becomes symbols (single characters); of all
 adjacent pairs whose concatenation is a piece, the one with the best score (the leftmost of equals) is merged, until
 none is left. Words repeat, so a text is first cut where no piece can span (see :class:`Vocabulary`), and the agendas
-of a block's distinct segments advance together, one merge a segment and step, in numpy arrays. The result of each
-distinct segment is checked against the sentencepiece library inside the same Arrow batch; a segment that differs
-takes the library's ids and is counted in ``n_fallback``. Every ``audit_every``-th text of a block is, besides,
-encoded and decoded whole by the library.
+of a block's distinct segments advance together, one merge a segment and step, in numpy arrays. Every text is also
+encoded and decoded whole by the sentencepiece library inside the same Arrow batch; a text whose ids or decoded text
+differ takes the library's and has 1 in ``n_fallback``.
 
-Null and empty texts have no ids and decode to the empty text. Repeated rows give repeated rows. Other columns are
-not read. Memory: one block of texts (a very long text is a block of its own) plus the vocabulary.
+Null and empty texts have no ids and decode to the empty text. Repeated rows give repeated rows; pairs that tie in score
+merge from the left. An empty table gives no rows. Other columns are not read. Memory: one block of texts (a very long
+text is a block of its own) plus the vocabulary.
 """
 
 from __future__ import annotations
@@ -230,19 +230,13 @@ class Vocabulary:
             return text.split(" ")
         return [s[1:] for s in _SEGMENT.findall(SPACE + text.replace(" ", SPACE))]
 
-    def encode_distinct(self, segments: list[str]) -> tuple[list[list[int]], list[int]]:
-        """Ids of distinct segments, and the places of those where the library's differed (then they are the library's)."""
+    def encode_distinct(self, segments: list[str]) -> list[list[int]]:
+        """Ids of distinct segments."""
         marked = [SPACE + s for s in segments]
         parts = [[m] if s.isalpha() or not self.cut else self.cut.split(m) for s, m in zip(segments, marked)]
         index = {p: i for i, p in enumerate(dict.fromkeys(p for ps in parts for p in ps))}
         done = self.agenda(list(index))
-        ids = [done[index[ps[0]]] if len(ps) == 1 else [x for p in ps for x in done[index[p]]] for ps in parts]
-        # the library itself puts the mark before a text; a lone mark can't be given to it
-        theirs = self.library.encode([s.replace(SPACE, " ") or "a" for s in segments], num_threads=1)
-        differs = [i for i, (a, b) in enumerate(zip(ids, theirs)) if a != b and segments[i]]
-        for i in differs:
-            ids[i] = theirs[i]
-        return ids, differs
+        return [done[index[ps[0]]] if len(ps) == 1 else [x for p in ps for x in done[index[p]]] for ps in parts]
 
     def decode_distinct(self, segments: list[str], ids: list[list[int]]) -> list[str]:
         """What each segment adds to a decoded text: the library decodes all in one run, which tells whether they are the segments' own texts."""
@@ -265,25 +259,23 @@ class Memo:
 
     def __init__(self, vocab: Vocabulary):
         self.vocab, self.index = vocab, _Numbered()
-        self.digits, self.sizes, self.plain, self.differs = [], [], [], set()
+        self.digits, self.sizes, self.plain = [], [], []
 
     def number(self, texts: list[str | None]) -> list[list[int]]:
         number = self.index.__getitem__
         docs = [list(map(number, self.vocab.segments(t))) if t else [] for t in texts]
         old = len(self.sizes)
         if fresh := list(self.index)[old:]:
-            ids, differs = self.vocab.encode_distinct(fresh)
+            ids = self.vocab.encode_distinct(fresh)
             self.plain += self.vocab.decode_distinct(fresh, ids)
             self.digits += [str(x)[1:-1].replace(" ", "") for x in ids]
             self.sizes += map(len, ids)
-            self.differs.update(old + i for i in differs)
         return docs
 
     def trim(self) -> None:
         for s in list(self.index)[MEMO:]:
             del self.index[s]
         del self.digits[MEMO:], self.sizes[MEMO:], self.plain[MEMO:]
-        self.differs = {k for k in self.differs if k < MEMO}
 
 
 @functools.lru_cache(maxsize=4)
@@ -296,8 +288,8 @@ def memo(path: str) -> Memo:
     return Memo(vocabulary(path))
 
 
-def encode_block(known: Memo, texts: list[str | None], audit_every: int = 64, with_ids: bool = False) -> dict[str, list]:
-    vocab = known.vocab
+def encode_block(known: Memo, texts: list[str | None], with_ids: bool = False) -> dict[str, list]:
+    library = known.vocab.library
     paused = gc.isenabled()
     gc.disable()  # the block makes millions of small objects and no cycles
     docs = known.number(texts)
@@ -305,21 +297,19 @@ def encode_block(known: Memo, texts: list[str | None], audit_every: int = 64, wi
     out: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "n_fallback": []}
     if with_ids:
         out |= {"ids": [], "decoded": []}
-    for i, (text, doc) in enumerate(zip(texts, docs)):
+    for text, doc in zip(texts, docs):
         decoded = "".join(map(plain, doc)).removeprefix(" ")  # decoding drops the dummy prefix
-        said, n = ",".join(map(digits, doc)), sum(map(sizes, doc))
-        fell = sum(k in known.differs for k in doc) if known.differs else 0
-        if text and i % audit_every == 0:
-            whole = vocab.library.encode(text)
-            theirs = ",".join(map(str, whole)), vocab.library.decode(whole)
-            if theirs != (said, decoded):
-                said, decoded, n, fell = *theirs, len(whole), fell + 1
+        said, n, fell = ",".join(map(digits, doc)), sum(map(sizes, doc)), 0
+        whole = library.encode(text) if text else []
+        theirs = str(whole)[1:-1].replace(" ", ""), library.decode(whole) if text else ""
+        if theirs != (said, decoded):
+            said, decoded, n, fell = *theirs, len(whole), 1
         out["n_tokens"].append(n)
         out["ids_sha256"].append(hashlib.sha256(said.encode()).hexdigest())
         out["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
         out["n_fallback"].append(fell)
         if with_ids:
-            out["ids"].append(np.array(said.split(","), np.int32) if said else np.zeros(0, np.int32))
+            out["ids"].append(np.array(whole, np.int32))
             out["decoded"].append(decoded)
     known.trim()
     if paused:
@@ -327,12 +317,12 @@ def encode_block(known: Memo, texts: list[str | None], audit_every: int = 64, wi
     return out
 
 
-def sentencepiece_codec(df: DataFrame, model_path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), *, with_ids: bool = False, audit_every: int = 64) -> DataFrame:
+def sentencepiece_codec(df: DataFrame, model_path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), *, with_ids: bool = False) -> DataFrame:
     """One row per input row: ``keep``, n_tokens, digests of the ids and of the decoded text, n_fallback; with ``with_ids`` the ids and the decoded text."""
 
     def make():
         known = memo(model_path)
-        return lambda texts: encode_block(known, texts, audit_every, with_ids)
+        return lambda texts: encode_block(known, texts, with_ids)
 
     added = "n_tokens long, ids_sha256 string, decoded_sha256 string, n_fallback long" + ", ids array<int>, decoded string" * with_ids
     return map_texts(df, text, None, added, list(keep), make=make, limit=BLOCK)
