@@ -1,16 +1,18 @@
 """Operator 1: licence scan by a positional rare-token index.
 
 Templates are licence notices with mandatory key phrases. Every template word's document frequency is counted over all
-documents; a template is indexed by its ANCHORS rarest words (highest inverse document frequency) with their positions.
-A document looks up the indexed words that it holds; postings, adjusted by the word's place in the document, are
-intersected: places where two anchors or more (all, if a template has fewer) put the template's beginning within DRIFT
-words of each other are candidates. A candidate is accepted if its key phrases stand, word for word, inside the
-candidate's stretch and at least COVERAGE of the template's words stand at their relative position, give or take DRIFT.
+documents, and the index holds its positions in the templates. For each template whose words it holds to a sufficient
+part, key phrases' words included, a file looks up its own ANCHORS rarest licence words (highest inverse document
+frequency); postings, adjusted by the words' places in the file, are intersected: places where two different anchors or
+more (all, if there are fewer) put the template's beginning within DRIFT words of each other are candidates. A candidate
+is accepted if its key phrases stand, word for word, inside the candidate's stretch and at least COVERAGE of the
+template's words stand at their relative position, give or take DRIFT.
 
 Base labels come from fixed phrases, found by the same index with the phrase as a template that must match exactly.
 
-Null and empty texts have no words: no labels, score 0, null first and last word. Repeated rows give repeated rows;
-null ids are allowed. An empty table gives no rows. Other columns are not read.
+Null and empty texts have no words: no labels, score 0, null first and last word. Words that tie in frequency are ordered
+by the alphabet. Repeated rows give repeated rows; null ids are allowed. An empty table gives no rows. A very long text
+is a block of its own, read whole. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -49,6 +51,13 @@ TEMPLATES = (
     ("cc-by-nc", ("cc by nc",), "Licensed under CC BY-NC 4.0."),
     ("cc-by-sa", ("cc by sa",), "Licensed under CC BY-SA 4.0."),
     ("cc-by", ("creative commons attribution",), "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("agpl", ("affero general public license",), "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("bsd-3-clause", ("neither the name of",), "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("zlib", ("the origin of this software must not be misrepresented",), "The origin of this software must not be misrepresented; you must not claim that you wrote the original software."),
+    ("bsl", ("boost software license",), "Distributed under the Boost Software License, Version 1.0."),
+    ("epl", ("eclipse public license",), "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    ("artistic", ("artistic license",), "This package is free software; you can redistribute it and/or modify it under the terms of the Artistic License 2.0."),
+    ("cc0", ("cc0 1 0",), "To the extent possible under law, the author has dedicated all copyright to this work to the public domain under CC0 1.0 Universal."),
     ("all-rights-reserved", ("all rights reserved",), "All rights reserved."),
 )
 
@@ -58,6 +67,7 @@ class Template:
         self.label, self.base = label, base
         self.words = words_of(text)
         self.keys = [words_of(k) for k in keys]
+        self.held, self.mandatory = set(self.words), {w for k in self.keys for w in k}
 
 
 def all_templates(templates=TEMPLATES, base=BASE) -> list[Template]:
@@ -65,48 +75,42 @@ def all_templates(templates=TEMPLATES, base=BASE) -> list[Template]:
 
 
 class Index:
-    """Rare words of each template, with postings (template, position)."""
+    """Every template word with its inverse document frequency and its postings (template, position)."""
 
     def __init__(self, templates: list[Template], frequency: dict[str, int], documents: int):
         self.templates = templates
         self.idf = {w: math.log((documents + 1) / (frequency.get(w, 0) + 1)) for t in templates for w in t.words}
-        self.postings: dict[str, list[tuple[int, int]]] = {}
-        self.need: list[int] = []
+        self.postings: dict[str, dict[int, list[int]]] = {}
         for k, t in enumerate(templates):
-            rare = sorted(set(t.words), key=lambda w: (-self.idf[w], w))
-            rare = rare[: 1 if t.base else ANCHORS]
-            self.need.append(min(2, len(rare)))
             for place, w in enumerate(t.words):
-                if w in rare:
-                    self.postings.setdefault(w, []).append((k, place))
+                self.postings.setdefault(w, {}).setdefault(k, []).append(place)
 
     def scan(self, text: str | None) -> tuple:
         """n_words, places of base phrases, their first and last start, base labels, all labels, score."""
         words = words_of(text)
-        if self.postings.keys().isdisjoint(words):
+        own = self.idf.keys() & set(words)
+        # without its key phrases' words, or with too few of its words, a template can't be accepted
+        asked = [k for k, t in enumerate(self.templates) if t.mandatory <= own and sum(w in own for w in t.words) >= COVERAGE * len(t.words)]
+        if not asked:
             return len(words), 0, None, None, "", "", 0.0
-        votes: dict[int, list[int]] = {}
+        wanted = set().union(*(self.templates[k].held for k in asked))
+        where: dict[str, list[int]] = {}
         for at, w in enumerate(words):
-            for k, place in self.postings.get(w, ()):
-                votes.setdefault(k, []).append(at - place)
-        where: dict[str, list[int]] | None = None
+            if w in wanted:
+                where.setdefault(w, []).append(at)
         starts, base, labels, score = [], set(), set(), 0.0
-        for k, offsets in votes.items():
+        for k in asked:
             t = self.templates[k]
+            # the file's rarest words of the template
+            rare = sorted(t.held & own, key=lambda w: (-self.idf[w], w))[: 1 if t.base else ANCHORS]
             if t.base:
                 n = len(t.words)
-                # a phrase may hold its rare word more than once
-                found = sorted({a for a in offsets if a >= 0 and words[a : a + n] == t.words})
+                found = sorted({at - place for at in where[rare[0]] for place in self.postings[rare[0]][k] if at >= place and words[at - place : at - place + n] == t.words})
                 if found:
                     starts += found
                     base.add(t.label)
                 continue
-            if where is None:
-                where = {}
-                for at, w in enumerate(words):
-                    if w in self.idf:
-                        where.setdefault(w, []).append(at)
-            for begin in self._candidates(offsets, self.need[k]):
+            for begin in self._candidates([(at - place, w) for w in rare for place in self.postings[w][k] for at in where[w]], min(2, len(rare))):
                 covered = self._covered(t, begin, where)
                 if covered >= COVERAGE and self._verified(t, begin, words):
                     labels.add(t.label)
@@ -117,18 +121,21 @@ class Index:
         return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score
 
     @staticmethod
-    def _candidates(offsets: list[int], need: int) -> list[int]:
-        """Beginnings that at least ``need`` anchors agree on, give or take DRIFT; near ones once."""
-        count = Counter(offsets)
-        order = sorted(count)
+    def _candidates(offsets: list[tuple[int, str]], need: int) -> list[int]:
+        """Beginnings that at least ``need`` different anchors agree on, give or take DRIFT; near ones once."""
+        order = sorted(offsets)
         out: list[int] = []
-        for i, a in enumerate(order):
-            votes, j = 0, i
-            while j < len(order) and order[j] <= a + DRIFT:
-                votes += count[order[j]]
-                j += 1
-            if votes >= need and (not out or a > out[-1] + DRIFT):
+        held: Counter[str] = Counter()
+        end = 0
+        for a, w in order:
+            while end < len(order) and order[end][0] <= a + DRIFT:
+                held[order[end][1]] += 1
+                end += 1
+            if len(held) >= need and (not out or a > out[-1] + DRIFT):
                 out.append(a)
+            held[w] -= 1
+            if not held[w]:
+                del held[w]
         return out
 
     @staticmethod
