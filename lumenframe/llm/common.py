@@ -17,6 +17,9 @@ from pyspark.sql import types as T
 #: UTF-8 bytes of text that a Python worker handles at once; one longer text is a block of its own.
 BLOCK_BYTES = 4 << 20
 
+#: Bits of a bitmap of keys that is sent to all executors, whatever their number: 2 MB.
+BITS = 1 << 24
+
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
 
@@ -74,6 +77,19 @@ def drop_table(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def parted(df: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows whose key is certainly not among ``keys`` (one column of the same name), and the others, by a bitmap of fixed size.
+
+    The first can stay where they are; only the others need to meet the keys.
+    """
+    at = F.pmod(F.xxhash64(key), F.lit(BITS)) + 1
+    bits = keys.groupBy(F.bitmap_bucket_number(at).alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("__bits"))
+    marked = df.withColumns({"__bucket": F.bitmap_bucket_number(at), "__bit": F.bitmap_bit_position(at)}).join(F.broadcast(bits), "__bucket", "left")
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(F.col("__bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    held = F.coalesce(F.getbit(byte, (F.col("__bit") % 8).cast("int")) == 1, F.lit(False))
+    return tuple(marked.where(test).select(*map(quoted, df.columns)) for test in (~held, held))
+
+
 def finished(spark: SparkSession, path: str) -> bool:
     """Whether a table was written there to its end."""
     mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")

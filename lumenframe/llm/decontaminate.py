@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenframe.llm.common import arrow_schema, blocks, materialize, new_path, quoted, read, words_of
+from lumenframe.llm.common import arrow_schema, blocks, materialize, new_path, parted, quoted, read, words_of
 
 WINDOW = 10
 SLOP = 20
@@ -352,8 +352,8 @@ def contamination(df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id"
 def without_matches(df: DataFrame, benchmark: DataFrame, *, text: str = "text", **options) -> DataFrame:
     """The rows whose text holds no window of an item; columns and their names stay.
 
-    Matches depend on the text alone, so that the index keeps the texts' digests and rows are told by them; the digests of
-    texts with a hit are written first, which lets Spark see their size before it picks the join. Null texts stay.
+    Matches depend on the text alone, so that the index keeps the texts' digests and rows are told by them. A bitmap of the
+    digests with a hit tells which rows have to meet them; the others stay where they are. Null texts stay.
     """
     names = [f"c{i}" for i in range(len(df.columns))]
     rows = df.toDF(*names)
@@ -361,7 +361,8 @@ def without_matches(df: DataFrame, benchmark: DataFrame, *, text: str = "text",
     rows = rows.withColumn("digest", F.unhex(F.md5(own)))
     found = find_matches(rows, benchmark, keep=["digest"], text=own, **options)
     hit = materialize(found.where(F.size("match.ranges") > 0).select("digest").distinct(), "hits")
-    return rows.join(hit, "digest", "left_anti").select(*names).toDF(*df.columns)
+    without, may = parted(rows, "digest", hit)
+    return without.unionByName(may.join(hit.hint("merge"), "digest", "left_anti")).select(*names).toDF(*df.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,9 +6,9 @@ the queries' trigrams. A query becomes alternatives of trigrams that must all be
 its rarest trigram and intersects them with the others' postings. Only candidates run a rule's expression. A rule
 without mandatory trigrams (``hex``) scans every text where it lies. DataFrame functions only.
 
-Spans depend on the text alone, so that texts are known by their MD5: postings, candidates and spans move as digests, and
-of the texts only those of candidates may move. Spark picks each join by the written tables' sizes. Trigrams are taken
-over texts with A-Z lower-cased, which makes queries of case-sensitive rules weaker, never wrong.
+Spans depend on the text alone, so that texts are known by their MD5: postings, candidates and spans move as digests. A
+bitmap of the candidates' digests, of a fixed size, tells which texts have to move to meet them; the others stay. Trigrams
+are taken over texts with A-Z lower-cased, which makes queries of case-sensitive rules weaker, never wrong.
 
 Null and empty texts have no spans; repeated rows give repeated rows; null ids are allowed. Spans are ordered by start,
 ties by the rules' order. An empty table gives no rows. A very long text is matched whole, in one row's expression. Other
@@ -26,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import lower_col, materialize, quoted, read
+from lumenframe.llm.common import lower_col, materialize, parted, quoted, read
 
 
 @dataclass(frozen=True)
@@ -196,7 +196,7 @@ def candidates(df: DataFrame, rules: tuple[Rule, ...], text: str = "text") -> Da
     rest = small_table(spark, "part int, trigram string, bit long", [(i, t, 1 << k) for i, _, terms in lists for k, t in enumerate(terms[1:])])
     whole = small_table(spark, "part int, kind string, all long", [(i, kind, (1 << len(terms) - 1) - 1) for i, kind, terms in lists])
     seeds = materialize(index.join(F.broadcast(first), "trigram").select("part", "digest").distinct(), "seeds")
-    others = index.join(F.broadcast(rest), "trigram").select("part", "digest", "bit").join(seeds, ["part", "digest"], "left_semi")
+    others = index.join(F.broadcast(rest), "trigram").select("part", "digest", "bit").join(seeds.hint("merge"), ["part", "digest"], "left_semi")
     held = seeds.select("part", "digest", F.lit(0).cast("long").alias("bit")).union(others).groupBy("part", "digest").agg(F.bit_or("bit").alias("held"))
     sure = held.join(F.broadcast(whole), "part").where(F.col("held") == F.col("all"))
     return materialize(sure.groupBy("digest").agg(F.collect_set("kind").alias("kinds")), "candidates")
@@ -233,7 +233,9 @@ def found_spans(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "tex
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
     hit = lambda r: F.col(text).rlike(f"[0-9a-f]{{{r.least}}}") if r.kind == "hex" else F.length(text) > 0
     scanned = [F.when(hit(r), matches(F.col(text), r)).otherwise(none) for r in rules if r not in indexed]
-    asked = df.select(digest(text).alias("digest"), text).join(candidates(df, rules, text), "digest")
+    named = candidates(df, rules, text)
+    _, asked = parted(df.select(digest(text).alias("digest"), text), "digest", named.select("digest"))
+    asked = asked.join(named.hint("merge"), "digest")
     verified = [F.when(F.array_contains("kinds", r.kind), matches(F.col(text), r)).otherwise(none) for r in indexed]
     parts = [(df.select(digest(text).alias("digest"), text), scanned), (asked, verified)]
     spans = [rows.select("digest", F.concat(*each).alias("spans")).where(F.size("spans") > 0).dropDuplicates(["digest"]) for rows, each in parts if each]
@@ -243,10 +245,13 @@ def found_spans(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "tex
 
 def with_spans(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` as c0, c1, .. and ``spans`` (empty without a match), one row per input row."""
-    rows = df.select(*[F.col(quoted(k)).alias(f"c{i}") for i, k in enumerate(keep)], digest(quoted(text)).alias("digest"))
+    names = [f"c{i}" for i in range(len(keep))]
+    rows = df.select(*[F.col(quoted(k)).alias(c) for k, c in zip(keep, names)], digest(quoted(text)).alias("digest"))
     found = found_spans(df.select(F.col(quoted(text)).alias("text")), rules)
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
-    return rows.join(found, "digest", "left").select(*[f"c{i}" for i in range(len(keep))], F.coalesce("spans", none).alias("spans"))
+    without, may = parted(rows, "digest", found.select("digest"))
+    met = may.join(found.hint("merge"), "digest", "left").select(*names, F.coalesce("spans", none).alias("spans"))
+    return without.select(*names, none.alias("spans")).union(met)
 
 
 def spans_text(spans: Column) -> Column:
