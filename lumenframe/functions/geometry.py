@@ -71,11 +71,18 @@ def is_tall(a: Box) -> Column:
 
 
 def nearby(a: Box, b: Box, square) -> Column:
-    """Gaps within what the script allows, relative to the smaller height."""
+    """Whether two texts may belong to one sign: on one line, one above the other, or in one column of square glyphs.
+
+    Distances are allowed in multiples of the larger height; square scripts leave less room between glyphs.
+    """
     x, y = gap(a, b)
-    unit = F.least(a.h, b.h)
+    unit, wide, narrow = F.greatest(F.lit(1), a.h, b.h), F.greatest(F.lit(1), a.w, b.w), F.greatest(F.lit(1), F.least(a.w, b.w))
     square = as_col(square)
-    return (x <= unit * F.when(square, 1.2).otherwise(2.5)) & (y <= unit * F.when(square, 0.9).otherwise(1.6))
+    on_line = (F.abs(a.y + a.h / 2 - b.y - b.h / 2) <= unit * 0.46) & (x <= unit * F.when(square, 1.2).otherwise(2.5))
+    shared = F.greatest(F.lit(0), F.least(a.right, b.right) - F.greatest(a.x, b.x))
+    stacked = (y <= unit * F.when(square, 0.9).otherwise(1.6)) & (shared / narrow >= 0.18)
+    column = square & (F.abs(a.x + a.w / 2 - b.x - b.w / 2) <= wide * 0.6) & (y <= unit * 0.8)
+    return on_line | stacked | column
 
 
 def clip(a: Box, width, height) -> Column:

@@ -11,9 +11,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Letters of one script that look like letters of another.
-CYRILLIC_TWINS = "АВЕКМНОРСТУХаеорсухіјѕ"
-LATIN_TWINS = "ABEKMHOPCTYXaeopcyxijs"
+# Cyrillic letters and the Latin letters that look like them, in this order.
+CYRILLIC_TWINS = "АВЕКМНОРСТУХЅІЈҮаеорсухѕіјԛԝ"
+LATIN_TWINS = "ABEKMHOPCTYXSIJYaeopcyxsijqw"
+
+# Marks that take a space before or after them, by locale, and the locale that a bare language stands for.
+SPACED_BEFORE = {"fr-FR": "!?;:»", "fr-BE": "!?;:»", "fr-CH": "!?;:»", "fr-CA": ":»"}
+SPACED_AFTER = {"fr-FR": "«", "fr-BE": "«", "fr-CH": "«", "fr-CA": "«"}
+DEFAULT_LOCALE = {"fr": "fr-FR"}
 
 #: Scripts written without spaces, by character class.
 UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]"
@@ -45,11 +50,11 @@ def skeleton(c) -> Column:
 
 
 def twin_share(c) -> Column:
-    """Share of letters that have a twin in the other script; null without letters."""
+    """Share of letters that have a twin in the other script; 0 without letters."""
     c = as_col(c)
     letters = F.length(F.regexp_replace(c, r"[^\p{L}]", ""))
     twins = F.length(F.regexp_replace(c, f"[^{CYRILLIC_TWINS}{LATIN_TWINS}]", ""))
-    return F.when(letters > 0, twins / letters)
+    return F.when(c.isNotNull() & (letters > 0), twins / letters).otherwise(0.0)
 
 
 def class_count(c, pattern: str) -> Column:
@@ -108,9 +113,17 @@ def script_pair_compatible(a, b, lang) -> Column:
 
 
 def error_rate(hypothesis, reference) -> Column:
-    """Character edits over the reference's length, at most 1; of an empty reference 0 or 1."""
-    h, r = as_col(hypothesis), as_col(reference)
-    return F.when(F.length(r) == 0, F.when(F.length(h) == 0, 0.0).otherwise(1.0)).otherwise(F.least(F.lit(1.0), F.levenshtein(h, r) / F.length(r)))
+    """Character edits of the compatibility forms over the reference's length, at most 1, to four places; null for a reference without letters."""
+    h, r = F.coalesce(nfkc_key(as_col(hypothesis)), F.lit("")), F.coalesce(nfkc_key(as_col(reference)), F.lit(""))
+    return F.when(F.length(r) > 0, F.round(F.least(F.lit(1.0), F.levenshtein(h, r) / F.length(r)), 4))
+
+
+def word_error_rate(hypothesis, reference) -> Column:
+    """The same over words, for references in scripts that are written with spaces; null for others."""
+    r = as_col(reference)
+    spaced = r.rlike(r"\p{L}") & ~r.rlike(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}\p{IsThai}]")
+    counted = word_edits(as_col(hypothesis), r)
+    return F.when(spaced & (counted["words"] > 0), F.round(F.least(F.lit(1.0), counted["edits"] / counted["words"]), 4))
 
 
 def normalized_edit(a, b) -> Column:
@@ -150,28 +163,61 @@ def xml_escape(c) -> Column:
     return F.replace(F.replace(F.replace(as_col(c), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
 
-def french_spacing(c) -> Column:
-    """A no-break space before ; : ! ? that follow a word directly."""
-    return F.regexp_replace(as_col(c), r"([\p{L}\p{N}])([;:!?])", "$1 $2")
+def resolve_locale(region, asset=None) -> Column:
+    """The region's locale; one without a country takes the asset's of the same language, else its language's default. Null without any."""
+    own, lent = _locale_parts(region), _locale_parts(F.lit(None).cast("string") if asset is None else asset)
+    first = F.when(own["base"] != "", own).otherwise(lent)
+    known = F.create_map(*[F.lit(x) for kv in DEFAULT_LOCALE.items() for x in kv])
+    country = F.coalesce(first["country"], F.when(lent["base"] == first["base"], lent["country"]))
+    return F.when(first["base"] != "", F.when(country.isNotNull(), F.concat_ws("-", first["base"], country)).otherwise(F.try_element_at(known, first["base"])))
+
+
+def _locale_parts(c) -> Column:
+    parts = F.split(F.replace(F.trim(F.coalesce(as_col(c), F.lit(""))), F.lit("_"), F.lit("-")), "-")
+    countries = F.filter(F.slice(parts, 2, 9), lambda p: p.rlike(r"^\p{L}{2}$"))
+    return F.struct(F.lower(parts[0]).alias("base"), F.upper(F.try_element_at(countries, F.lit(1))).alias("country"))
+
+
+def punctuation_spacing(c, locale) -> Column:
+    """A locale's space before a run of its marks that ends a token, and after its opening marks; other locales leave the text alone."""
+    c, locale, out = as_col(c), as_col(locale), as_col(c)
+    for name in sorted(SPACED_BEFORE):
+        spaced = F.regexp_replace(c, rf"(?U)(\S)([{SPACED_BEFORE[name]}]+)(?=\s|$)", "$1 $2")
+        spaced = F.regexp_replace(spaced, rf"(?U)([{SPACED_AFTER[name]}])(\S)", "$1 $2")
+        out = F.when(locale == name, spaced).otherwise(out)
+    return out
 
 
 def source_hash(c) -> Column:
     return F.sha2(F.replace(as_col(c), F.lit("\r\n"), F.lit("\n")), 256)
 
 
-def membership_hash(ids, text, schema: str = "v1") -> Column:
-    mark = "␟"
-    return F.sha2(F.concat_ws(mark, F.lit(schema), F.array_join(as_col(ids), "␞"), F.trim(as_col(text))), 256)
+def membership_hash(ids, text, schema: int = 1) -> Column:
+    """SHA-256 over a schema number, the ids and the text's composed form."""
+    return F.sha2(F.concat_ws("␟", F.lit(str(schema)), F.array_join(as_col(ids), "␞"), nfc_trimmed(F.coalesce(as_col(text), F.lit("")))), 256)
+
 
+def candidate_id(image, stage, geometry, parents=None, salt="", run_kind="production") -> Column:
+    """Stage prefix and twelve digits of a SHA-1 over image, stage, run, geometry to two places, sorted parents and salt."""
+    stage = as_col(stage)
+    lit = lambda c: F.lit(c) if isinstance(c, str) else c
+    above = F.array_join(F.array_sort(F.coalesce(as_col(parents), F.array().cast("array<string>"))), ",") if parents is not None else F.lit("")
+    key = F.concat_ws("|", as_col(image), stage, lit(run_kind), two_places(as_col(geometry).cast("array<double>")), above, lit(salt))
+    return F.concat(F.substring(stage, 1, 4), F.lit("-"), F.substring(F.sha1(key), 1, 12))
 
-def candidate_id(stage, *parts) -> Column:
-    """Stage prefix and twelve digits of a SHA-1 over the parts."""
-    return F.concat(F.substring(as_col(stage), 1, 4), F.lit("-"), F.substring(F.sha1(F.concat_ws("|", as_col(stage), *[as_col(p).cast("string") for p in parts])), 1, 12))
 
+def detector_fingerprint(*settings) -> Column:
+    """Ten digits of a SHA-1 over the settings."""
+    return F.substring(F.sha1(F.concat_ws("|", *[F.coalesce(as_col(x).cast("string"), F.lit("")) for x in settings])), 1, 10)
 
-def lm_tokens(c) -> Column:
-    """CJK characters one by one, other words in lower case, split at signs."""
-    return F.regexp_extract_all(F.lower(as_col(c)), F.lit(rf"{CJK}|[\p{{L}}\p{{M}}\p{{N}}&&[^{CJK[1:-1]}]]+"), F.lit(0))
+
+def lm_tokens(c, family: str = "latin") -> Column:
+    """Words in lower case and signs, each a token of its own; of the family ``cjk`` every character."""
+    c = F.coalesce(as_col(c), F.lit(""))
+    if family == "cjk":
+        return F.regexp_extract_all(c, F.lit(r"(?U)\S"), F.lit(0))
+    folded = F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
+    return F.filter(F.split(F.regexp_replace(folded, r"(?U)([^\p{L}\p{N}\s])", " $1 "), r"(?U)\s+"), lambda t: t != "")
 
 
 def bidi_variants(c) -> Column:
@@ -274,3 +320,45 @@ def accent_fold(c: pd.Series) -> pd.Series:
         return "".join(ch for ch in unicodedata.normalize("NFD", x.casefold()) if not unicodedata.combining(ch))
 
     return c.map(fold, na_action="ignore")
+
+
+@F.pandas_udf(T.StringType())
+def nfkc_word(c: pd.Series) -> pd.Series:
+    """Compatibility form without signs; case and composed marks stay."""
+    import re
+    import unicodedata
+
+    return c.map(lambda x: None if x is None else re.sub(r"[\W_]+", "", unicodedata.normalize("NFKC", x)), na_action="ignore")
+
+
+@F.pandas_udf(T.StringType())
+def nfc_trimmed(c: pd.Series) -> pd.Series:
+    import unicodedata
+
+    return c.map(lambda x: None if x is None else unicodedata.normalize("NFC", x.strip()), na_action="ignore")
+
+
+@F.pandas_udf(T.StringType())
+def two_places(c: pd.Series) -> pd.Series:
+    """Numbers to two places, comma-joined, rounded as their exact binary values are."""
+    return c.map(lambda xs: None if xs is None else ",".join(f"{x:.2f}" for x in xs), na_action="ignore")
+
+
+@F.pandas_udf(T.StructType([T.StructField("edits", T.LongType()), T.StructField("words", T.LongType())]))
+def word_edits(hypothesis: pd.Series, reference: pd.Series) -> pd.DataFrame:
+    """Word edits from the reference, and its number of words, of compatibility forms without tatweel, case-folded."""
+    import unicodedata
+
+    def words(x):
+        return unicodedata.normalize("NFKC", x or "").replace("ـ", "").casefold().split()
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            diagonal, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                diagonal, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, diagonal + (x != y))
+        return row[-1]
+
+    pairs = [(words(h), words(r)) for h, r in zip(hypothesis, reference)]
+    return pd.DataFrame({"edits": [edits(r, h) for h, r in pairs], "words": [len(r) for _, r in pairs]})

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,34 +106,62 @@ def mcnemar(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """Exact two-sided binomial p of discordant pairs; both counts are aggregates, p is computed from them."""
     counts = pairs.agg(F.coalesce(F.sum(F.when(F.col(a) & ~F.col(b), 1)), F.lit(0)).alias("only_a"), F.coalesce(F.sum(F.when(~F.col(a) & F.col(b), 1)), F.lit(0)).alias("only_b"))
 
-    @F.udf("double")
-    def exact(x, y):
-        return binomial_p(min(x, y), x + y)
+    @F.pandas_udf("double")
+    def exact(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([binomial_p(int(min(a, b)), int(a + b)) for a, b in zip(x, y)])
 
     return counts.withColumn("p", exact("only_a", "only_b"))
 
 
 def binomial_p(k: int, n: int) -> float:
-    """Sum of the probabilities of outcomes not likelier than k of n at one half."""
-    if n == 0:
-        return 1.0
-    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) - n * math.log(2) for i in range(n + 1)]
-    return min(1.0, math.fsum(math.exp(x) for x in logs if x <= logs[k] + 1e-9))
-
-
-def bootstrap_mean(df: DataFrame, value: str, key: str, rounds: int = 200, level: float = 0.95) -> DataFrame:
-    """Percentile interval of a mean by a Poisson bootstrap: hashes of key and round give each row's weight, so that no rows are moved."""
-    u = (F.pmod(F.xxhash64(key, "__b"), F.lit(1 << 30)) + 0.5) / (1 << 30)
-    weight, total, p = F.lit(8), 0.0, math.exp(-1)
-    cuts = []
-    for k in range(8):
-        total += p
-        cuts.append((k, total))
-        p /= k + 1
-    for k, cut in reversed(cuts):
-        weight = F.when(u <= cut, k).otherwise(weight)
-    drawn = df.where(F.col(value).isNotNull()).withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).withColumn("__w", weight)
-    means = drawn.groupBy("__b").agg((F.sum(F.col("__w") * F.col(value)) / F.nullif(F.sum("__w"), F.lit(0))).alias("m"))
+    """Sum of the probabilities of outcomes not likelier than k of n at one half: twice a tail, by the incomplete beta function."""
+    k = min(k, n - k)
+    return 1.0 if 2 * k >= n else min(1.0, 2 * _half_beta(n - k, k + 1))
+
+
+def _half_beta(a: int, b: int) -> float:
+    """The incomplete beta function at one half for a over b, by its continued fraction: steps grow with the square root of a + b."""
+    x, tiny = 0.5, 1e-300
+    if x > (a + 1) / (a + b + 2):
+        return 1 - _half_beta(b, a)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) - (a + b) * math.log(2)) / a
+    c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1) or tiny)
+    out, m = d, 0
+    while True:
+        m += 1
+        for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / (1 + step * d or tiny)
+            c = 1 + step / c or tiny
+            out *= c * d
+        if abs(c * d - 1) < 1e-14:
+            return front * out
+
+
+def bootstrap_mean(df: DataFrame, value: str, key: str, rounds: int = 2000, level: float = 0.95) -> DataFrame:
+    """Percentile interval of a mean by a Poisson bootstrap: hashes of key and round give each row's weight, so that no rows are moved.
+
+    A task adds up weights and weighted values of all rounds in two arrays; its sums alone are shuffled.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    cuts = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(8)])
+    rows = df.where(F.col(value).isNotNull()).select(F.xxhash64(key).alias("h"), F.col(value).cast("double").alias("v"))
+
+    def run(batches):
+        total, weighted = np.zeros(rounds), np.zeros(rounds)
+        for batch in batches:
+            h, v = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+            for b in range(rounds):
+                x = h + np.uint64((b + 1) * 0x9E3779B97F4A7C15 % 2**64)  # the mixing steps of a splitmix generator
+                x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                w = np.searchsorted(cuts, ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / 2**53)
+                total[b] += w.sum()
+                weighted[b] += w @ v
+        yield pa.RecordBatch.from_arrays([pa.array(range(rounds), pa.int32()), pa.array(total), pa.array(weighted)], names=["b", "w", "s"])
+
+    means = rows.mapInArrow(run, "b int, w double, s double").groupBy("b").agg((F.sum("s") / F.nullif(F.sum("w"), F.lit(0.0))).alias("m"))
     tail = (1 - level) / 2
     return means.agg(F.percentile("m", tail).alias("low"), F.percentile("m", 1 - tail).alias("high"))
 

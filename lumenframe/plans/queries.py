@@ -240,30 +240,52 @@ def lexicon_language(spark, sf_dir):
 
 
 @query(f"""SELECT doc_id, translate(text, '{tx.CYRILLIC_TWINS}', '{tx.LATIN_TWINS}') = text AS unchanged, CASE WHEN length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) > 0
-THEN length(regexp_replace(text, '[^{tx.CYRILLIC_TWINS}{tx.LATIN_TWINS}]', '', 'g')) / length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) END AS twins FROM documents""")
+THEN length(regexp_replace(text, '[^{tx.CYRILLIC_TWINS}{tx.LATIN_TWINS}]', '', 'g')) / length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) ELSE 0.0::DOUBLE END AS twins FROM documents""")
 def homoglyph_fold(spark, sf_dir):
     """Share of letters with a twin in another script."""
     return table(spark, sf_dir, "documents").select("doc_id", (tx.skeleton("text") == F.col("text")).alias("unchanged"), tx.twin_share("text").alias("twins"))
 
 
-@query("""WITH p AS (SELECT p_partkey AS id, p_name AS ref, replace(p_name, 'e', 'c') AS hyp FROM part)
-SELECT id, CAST(levenshtein(hyp, ref) AS INTEGER) AS edits, least(1.0::DOUBLE, levenshtein(hyp, ref) / length(ref)) AS cer, levenshtein(hyp, ref) / greatest(length(hyp), length(ref)) AS ned FROM p""")
+_KEY = "lower(regexp_replace({c}, '[^\\p{{L}}\\p{{N}}]+', '', 'g'))"
+
+
+@query(f"""WITH p AS (SELECT p_partkey AS id, p_name AS ref, CASE WHEN p_partkey % 7 = 0 THEN '- -' ELSE replace(p_name, 'e', 'c') || ' #' END AS hyp FROM part),
+k AS (SELECT *, CASE WHEN id % 11 = 0 THEN '' ELSE {_KEY.format(c='ref')} END AS r, {_KEY.format(c='hyp')} AS h FROM p)
+SELECT id, CAST(levenshtein(hyp, ref) AS INTEGER) AS edits, CASE WHEN length(r) > 0 THEN round(least(1.0::DOUBLE, levenshtein(h, r) / length(r)), 4) END AS cer, levenshtein(hyp, ref) / greatest(length(hyp), length(ref)) AS ned FROM k""")
 def character_error(spark, sf_dir):
-    """Edits and error rates of a noisy reading."""
-    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("ref"), F.replace("p_name", F.lit("e"), F.lit("c")).alias("hyp"))
-    return rows.select("id", F.levenshtein("hyp", "ref").alias("edits"), tx.error_rate("hyp", "ref").alias("cer"), tx.normalized_edit("hyp", "ref").alias("ned"))
+    """Edits and error rates of a noisy reading; some references have no letter."""
+    noisy = F.when(F.col("p_partkey") % 7 == 0, F.lit("- -")).otherwise(F.concat(F.replace("p_name", F.lit("e"), F.lit("c")), F.lit(" #")))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("ref"), noisy.alias("hyp"))
+    asked = F.when(F.col("id") % 11 == 0, F.lit("--")).otherwise(F.col("ref"))
+    return rows.select("id", F.levenshtein("hyp", "ref").alias("edits"), tx.error_rate("hyp", asked).alias("cer"), tx.normalized_edit("hyp", "ref").alias("ned"))
+
+
+@query("""WITH p AS (SELECT p_partkey AS id, string_split(lower(p_name || ' ' || p_type), ' ') AS r, string_split(lower(replace(p_name, 'o', '0') || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE ' ' || p_type END), ' ') AS h FROM part),
+e AS (SELECT id, r, h, list_concat(r, h) AS w FROM p), c AS (SELECT id, len(r) AS n, array_to_string(list_transform(r, lambda x: chr(64 + CAST(list_position(w, x) AS INTEGER))), '') AS a, array_to_string(list_transform(h, lambda x: chr(64 + CAST(list_position(w, x) AS INTEGER))), '') AS b FROM e)
+SELECT id, round(least(1.0::DOUBLE, levenshtein(a, b) / n), 4) AS wer FROM c""")
+def word_error(spark, sf_dir):
+    """Word error rate of a noisy reading."""
+    p = table(spark, sf_dir, "part")
+    heard = F.concat(F.replace("p_name", F.lit("o"), F.lit("0")), F.when(F.col("p_partkey") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit(" "), F.col("p_type"))))
+    return p.select(F.col("p_partkey").alias("id"), tx.word_error_rate(heard, F.concat_ws(" ", "p_name", "p_type")).alias("wer"))
 
 
-@query(r"""SELECT page_id, len(regexp_extract_all(html, '</?[A-Za-z][^<>]*>'))::INTEGER AS tags, list_sort(regexp_extract_all(substr(html, 1, 300), '[0-9]+(?:[.,][0-9]+)*')) = list_sort(regexp_extract_all(substr(html, 1, 200), '[0-9]+(?:[.,][0-9]+)*')) AS same_numbers FROM pages""")
+@query(r"""SELECT page_id, len(regexp_extract_all(html, '</?[A-Za-z][^<>]*>'))::INTEGER AS tags, list_sort(regexp_extract_all(html, '[0-9]+(?:[.,][0-9]+)*')) = list_sort(regexp_extract_all(replace(html, '10', 'ten'), '[0-9]+(?:[.,][0-9]+)*')) AS same_numbers FROM pages""")
 def placeholder_check(spark, sf_dir):
-    """Tags as placeholders, and whether two versions have the same numbers."""
-    return table(spark, sf_dir, "pages").select("page_id", F.size(tx.multiset("html", "</?[A-Za-z][^<>]*>")).alias("tags"), (tx.numbers(F.substring("html", 1, 300)) == tx.numbers(F.substring("html", 1, 200))).alias("same_numbers"))
+    """Tags as placeholders, and whether a version in which one number is spelled out has the same numbers; of whole pages."""
+    spelled = F.replace("html", F.lit("10"), F.lit("ten"))
+    return table(spark, sf_dir, "pages").select("page_id", F.size(tx.multiset("html", "</?[A-Za-z][^<>]*>")).alias("tags"), (tx.numbers("html") == tx.numbers(spelled)).alias("same_numbers"))
 
 
-@query("""SELECT conv_id, turn, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped, regexp_replace(text, '([\\p{L}\\p{N}])([;:!?])', '\\1 \\2', 'g') AS spaced, sha256(replace(text, chr(13) || chr(10), chr(10))) AS source_hash FROM conversations""")
+@query("""WITH c AS (SELECT *, text || ' 10:30 http://x oui!! non ? «a»' AS t, CASE turn % 3 WHEN 0 THEN 'fr-FR' WHEN 1 THEN 'fr-CA' ELSE 'en-US' END AS l FROM conversations),
+b AS (SELECT *, CASE l WHEN 'fr-FR' THEN regexp_replace(t, '(\\S)([!?;:»]+)(\\s|$)', '\\1 \\2\\3', 'g') WHEN 'fr-CA' THEN regexp_replace(t, '(\\S)([:»]+)(\\s|$)', '\\1 \\2\\3', 'g') ELSE t END AS s FROM c)
+SELECT conv_id, turn, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped, CASE WHEN l = 'en-US' THEN s ELSE regexp_replace(s, '(«)(\\S)', '\\1 \\2', 'g') END AS spaced, sha256(replace(text, chr(13) || chr(10), chr(10))) AS source_hash FROM b""")
 def locale_spacing(spark, sf_dir):
-    """Escaped text, locale spacing and source hash."""
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.xml_escape("text").alias("escaped"), tx.french_spacing("text").alias("spaced"), tx.source_hash("text").alias("source_hash"))
+    """Escaped text, spacing by three locales (with a tail of marks that take a space and marks that don't) and source hash."""
+    c = table(spark, sf_dir, "conversations")
+    said = F.concat("text", F.lit(" 10:30 http://x oui!! non ? «a»"))
+    locale = F.when(F.col("turn") % 3 == 0, tx.resolve_locale(F.lit("fr"))).when(F.col("turn") % 3 == 1, tx.resolve_locale(F.lit("fr"), F.lit("fr_ca"))).otherwise(tx.resolve_locale(F.lit("en"), F.lit("en-us")))
+    return c.select("conv_id", "turn", tx.xml_escape("text").alias("escaped"), tx.punctuation_spacing(said, locale).alias("spaced"), tx.source_hash("text").alias("source_hash"))
 
 
 @query("""SELECT conv_id, string_agg(trim(text), ' ' ORDER BY turn) AS assembled, count(*) AS n FROM conversations WHERE trim(text) <> '' GROUP BY 1""")
@@ -506,7 +528,8 @@ def plated(spark, sf_dir):
 
 
 @query(f"""WITH RECURSIVE {BOXES}, f AS (SELECT * FROM boxes WHERE NOT (asset % 10 = 0 AND id <= 2)),
-e AS (SELECT a.asset, a.id AS a, b.id AS b FROM f a JOIN f b ON a.asset = b.asset AND a.id <> b.id AND greatest(0, a.x - b.x - b.w, b.x - a.x - a.w) <= least(a.h, b.h) * 2.5 AND greatest(0, a.y - b.y - b.h, b.y - a.y - a.h) <= least(a.h, b.h) * 1.6),
+e AS (SELECT a.asset, a.id AS a, b.id AS b FROM f a JOIN f b ON a.asset = b.asset AND a.id <> b.id AND ((abs(a.y + a.h / 2 - b.y - b.h / 2) <= greatest(a.h, b.h) * 0.46::DOUBLE AND greatest(0, a.x - b.x - b.w, b.x - a.x - a.w) <= greatest(a.h, b.h) * 2.5::DOUBLE)
+  OR (greatest(0, a.y - b.y - b.h, b.y - a.y - a.h) <= greatest(a.h, b.h) * 1.6::DOUBLE AND greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) / least(a.w, b.w) >= 0.18::DOUBLE))),
 r AS (SELECT asset, id, id AS t FROM f UNION SELECT r.asset, r.id, e.b FROM r JOIN e ON e.asset = r.asset AND e.a = r.t), c AS (SELECT asset, id, min(t) AS root FROM r GROUP BY 1, 2),
 p AS (SELECT f.asset, string_agg(CAST(f.id AS VARCHAR), ',' ORDER BY f.id) AS members, string_agg(f.text, chr(10) ORDER BY f.id) AS source, min(f.id) AS first, CASE WHEN count(*) > 1 THEN 'derived' ELSE 'solo' END AS origin FROM f JOIN c ON c.asset = f.asset AND c.id = f.id GROUP BY f.asset, c.root
   UNION ALL SELECT asset, '1,2', string_agg(text, chr(10) ORDER BY id) FILTER (id <= 2), 1, 'pinned' FROM boxes WHERE asset % 10 = 0 GROUP BY 1)
@@ -534,39 +557,75 @@ def tracks(spark, sf_dir):
 # Evidence
 
 
+ENGINE = "CASE backend WHEN 0 THEN 'easyocr' ELSE 'paddleocr' END"
+
+
+def engine():
+    """The engine that the driver's backend number stands for."""
+    return F.when(F.col("backend") == 0, "easyocr").otherwise("paddleocr")
+
+
 def _knots_sql(x, backend):
     out = "CASE"
     for name, knots in evidence.KNOTS.items():
         for (x0, y0), (x1, y1) in zip(knots, knots[1:]):
-            out += f" WHEN {backend} = {name} AND {x} <= {x1}::DOUBLE THEN {y0}::DOUBLE + ({x} - {x0}::DOUBLE) * {y1 - y0!r}::DOUBLE / {x1 - x0!r}::DOUBLE"
+            out += f" WHEN {backend} = '{name}' AND {x} <= {x1}::DOUBLE THEN {y0}::DOUBLE + ({x} - {x0}::DOUBLE) * {y1 - y0!r}::DOUBLE / {x1 - x0!r}::DOUBLE"
+        out += f" WHEN {backend} = '{name}' AND {x} IS NOT NULL THEN {knots[-1][1]}::DOUBLE"
     return out + " END"
 
 
-@query(f"WITH {BOXES} SELECT asset, id, {_knots_sql('conf', 'backend')} AS calibrated FROM boxes")
+@query(f"WITH {BOXES} SELECT asset, id, {_knots_sql('conf', ENGINE)} AS calibrated FROM boxes")
 def calibrated_confidence(spark, sf_dir):
-    """Raw confidences through each backend's knots."""
-    return boxes(spark, sf_dir).select("asset", "id", evidence.calibrated("conf", "backend").alias("calibrated"))
-
-
-@query("""WITH r AS (SELECT l_orderkey AS asset, l_linenumber AS id, l_partkey, l_suppkey, l_tax * 10 AS best, l_discount AS margin, l_quantity / 50 AS ink, l_extendedprice / 100000 AS geometry, l_returnflag = 'A' AS agree FROM lineitem), q AS (
-SELECT *, list_filter([CASE WHEN best < 0.78::DOUBLE THEN 'low_score' END, CASE WHEN margin < 0.12::DOUBLE THEN 'small_margin' END, CASE WHEN ink < 0.55::DOUBLE THEN 'weak_ink' END, CASE WHEN geometry < 0.65::DOUBLE THEN 'poor_geometry' END], lambda x: x IS NOT NULL) AS why FROM r)
-SELECT asset, id, l_partkey, l_suppkey, CASE WHEN best IS NULL OR best < 0.39::DOUBLE THEN 'reject' WHEN len(why) = 0 THEN 'accept' WHEN agree THEN 'agree' ELSE 'review' END AS decision, array_to_string(why, ',') AS reasons FROM q""")
+    """Raw confidences through each engine's knots."""
+    return boxes(spark, sf_dir).select("asset", "id", evidence.calibrated("conf", engine()).alias("calibrated"))
+
+
+@query(f"""WITH r AS (SELECT l_orderkey AS asset, l_linenumber AS id, l_partkey, l_suppkey, l_quantity / 50 AS ink, l_extendedprice / 100000 AS geometry, 'easyocr' AS pe, CASE l_linenumber % 4 WHEN 0 THEN 'EasyOCR' WHEN 1 THEN 'other' ELSE 'paddleocr' END AS ae,
+  l_discount * 10 AS praw, l_tax * 12.5::DOUBLE AS araw, l_returnflag AS pk, CASE l_suppkey % 5 WHEN 0 THEN '' WHEN 1 THEN l_returnflag ELSE 'Z' END AS ak, CASE WHEN l_linestatus = 'F' THEN 'Latn' END AS ps, CASE WHEN l_partkey % 2 = 0 THEN 'Latn' ELSE 'Cyrl' END AS sc,
+  CASE l_partkey % 3 WHEN 0 THEN ['en', 'fr'] WHEN 1 THEN ['de'] ELSE [] END AS al, l_quantity > 45 AS risky FROM lineitem),
+c AS (SELECT *, {_knots_sql('praw', 'pe')} AS pc, {_knots_sql('araw', 'lower(ae)')} AS ac FROM r),
+g AS (SELECT *, list_filter([CASE WHEN ps IS NOT NULL AND ps <> sc THEN 'script_incompatible' END, CASE WHEN len(al) > 0 AND NOT list_contains(al, 'en') THEN 'language_incompatible' END], lambda x: x IS NOT NULL) AS gates,
+  list_filter([CASE WHEN ink < 0.55::DOUBLE THEN 'insufficient_ink_support' END, CASE WHEN geometry < 0.65::DOUBLE THEN 'insufficient_geometry_support' END, CASE WHEN ac < 0.78::DOUBLE THEN 'below_absolute_floor' END, CASE WHEN ac - pc < 0.12::DOUBLE THEN 'insufficient_calibrated_margin' END], lambda x: x IS NOT NULL) AS floors FROM c)
+SELECT asset, id, l_partkey, l_suppkey, CASE WHEN ak = '' OR lower(ae) = pe THEN 'reject' WHEN pc IS NULL OR ac IS NULL THEN 'review' WHEN ak = pk THEN 'agree' WHEN risky OR len(gates) > 0 THEN 'reject' WHEN len(floors) > 0 THEN 'review' ELSE 'accept' END AS decision,
+  CASE WHEN ak = '' THEN 'alternate_empty' WHEN lower(ae) = pe THEN 'same_backend' WHEN pc IS NULL OR ac IS NULL THEN 'uncalibrated_engine' WHEN ak = pk THEN 'consensus_text' WHEN risky THEN 'risky_alternate' WHEN len(gates) > 0 THEN array_to_string(gates, ',')
+    WHEN len(floors) > 0 THEN array_to_string(floors, ',') || ',conflicting_text' ELSE 'alternate_accepted' END AS reasons FROM g""")
 def arbitrate(spark, sf_dir):
-    """The arbitration ladder, with reasons."""
-    rows = table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("asset"), F.col("l_linenumber").alias("id"), "l_partkey", "l_suppkey", (F.col("l_tax") * 10).alias("best"), F.col("l_discount").alias("margin"),
-        (F.col("l_quantity") / 50).alias("ink"), (F.col("l_extendedprice") / 100000).alias("geometry"), (F.col("l_returnflag") == "A").alias("agree"),
+    """The arbitration ladder over two readings of every line, with reasons."""
+    n = F.col("l_linenumber") % 4
+    listed = lambda *x: F.array(*map(F.lit, x)).cast("array<string>")
+    none = F.lit(None).cast("string")
+    primary = F.struct(F.lit("easyocr").alias("engine"), F.col("l_returnflag").alias("key"), (F.col("l_discount") * 10).alias("raw"), F.when(F.col("l_linestatus") == "F", "Latn").otherwise(none).alias("script"), listed("en").alias("languages"), listed().alias("risk_flags"))
+    alternate = F.struct(
+        F.when(n == 0, "EasyOCR").when(n == 1, "other").otherwise("paddleocr").alias("engine"),
+        F.when(F.col("l_suppkey") % 5 == 0, "").when(F.col("l_suppkey") % 5 == 1, F.col("l_returnflag")).otherwise("Z").alias("key"), (F.col("l_tax") * 12.5).alias("raw"),
+        F.when(F.col("l_partkey") % 2 == 0, "Latn").otherwise("Cyrl").alias("script"),
+        F.when(F.col("l_partkey") % 3 == 0, listed("en", "fr")).when(F.col("l_partkey") % 3 == 1, listed("de")).otherwise(listed()).alias("languages"), F.when(F.col("l_quantity") > 45, listed("r")).otherwise(listed()).alias("risk_flags"),
     )
-    d = evidence.arbitrate("best", "margin", "ink", "geometry", "agree")
-    return rows.select("asset", "id", "l_partkey", "l_suppkey", d["decision"].alias("decision"), F.array_join(d["reasons"], ",").alias("reasons"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", primary.alias("p"), alternate.alias("a"))
+    d = evidence.arbitrate("p", "a", F.col("l_quantity") / 50, F.col("l_extendedprice") / 100000)
+    return rows.select(F.col("l_orderkey").alias("asset"), F.col("l_linenumber").alias("id"), "l_partkey", "l_suppkey", d.alias("d")).select("asset", "id", "l_partkey", "l_suppkey", F.col("d.decision").alias("decision"), F.array_join("d.reasons", ",").alias("reasons"))
 
 
-@query(f"""WITH {BOXES}, s AS (SELECT asset, id, CASE WHEN conf IS NULL THEN 'unknown' WHEN conf < 0.1::DOUBLE THEN 'absent' WHEN w / 70 < 0.2::DOUBLE THEN 'weak' WHEN h < 20 THEN 'partial' ELSE 'present' END AS state, conf * 5 AS margin FROM boxes)
-SELECT asset, id, state, CASE WHEN state IN ('absent', 'unknown') THEN 'unresolvable' WHEN state = 'present' AND margin >= 0.45::DOUBLE THEN 'accepted' ELSE 'review_required' END AS decision FROM s""")
+@query(f"""WITH {BOXES}, b AS (SELECT asset, id, CASE WHEN id % 3 = 0 THEN conf * 3 END AS peak, CASE WHEN id % 5 <> 0 THEN h - 6 END AS height, CASE WHEN id % 4 = 1 THEN ' ' ELSE text END AS text, CASE WHEN w > 65 THEN 'unresolvable' WHEN state = 'F' THEN 'review_required' END AS quality, CASE WHEN id % 2 = 0 THEN conf * 10 END AS conf, conf * 5 AS margin FROM boxes),
+s AS (SELECT *, CASE WHEN peak < 0.1::DOUBLE THEN 'no_detector_activation' WHEN peak < 0.2::DOUBLE THEN 'detector_activation_below_proposal_floor' WHEN trim(text) = '' THEN 'no_text_recovered' WHEN height < 12 THEN 'glyph_height_below_legible' WHEN quality = 'unresolvable' THEN 'ocr_unresolvable'
+  WHEN quality = 'review_required' THEN 'ocr_review_required' WHEN conf < 0.3::DOUBLE THEN 'low_recognition_confidence' WHEN peak IS NULL AND height IS NULL THEN 'nothing_measured' ELSE '' END AS reasons FROM b),
+t AS (SELECT *, CASE reasons WHEN 'no_detector_activation' THEN 'absent' WHEN 'no_text_recovered' THEN CASE WHEN peak IS NULL THEN 'absent' ELSE 'weak' END WHEN 'ocr_review_required' THEN 'partial' WHEN 'low_recognition_confidence' THEN 'partial' WHEN 'nothing_measured' THEN 'unknown' WHEN '' THEN 'present' ELSE 'weak' END AS state FROM s)
+SELECT asset, id, state, reasons, CASE WHEN state IN ('absent', 'unknown') THEN 'unresolvable' WHEN state = 'present' AND margin >= 0.45::DOUBLE THEN 'accepted' ELSE 'review_required' END AS decision FROM t""")
 def survival(spark, sf_dir):
-    """Evidence states (legible from 20 here) and the margin decision."""
-    rows = boxes(spark, sf_dir).select("asset", "id", evidence.survival("conf", F.col("w") / 70, F.col("h") - 8).alias("state"), (F.col("conf") * 5).alias("margin"))
-    return rows.select("asset", "id", "state", evidence.margin_decision("state", "margin", 0.45).alias("decision"))
+    """Evidence states with their reasons, and the margin decision."""
+    state = F.when(F.col("w") > 65, "unresolvable").when(F.col("state") == "F", "review_required")
+    found = evidence.survival(
+        F.when(F.col("id") % 3 == 0, F.col("conf") * 3), F.when(F.col("id") % 5 != 0, F.col("h") - 6), F.when(F.col("id") % 4 == 1, " ").otherwise(F.col("text")), state, F.when(F.col("id") % 2 == 0, F.col("conf") * 10),
+    )
+    rows = boxes(spark, sf_dir).select("asset", "id", found.alias("s"), (F.col("conf") * 5).alias("margin"))
+    return rows.select("asset", "id", F.col("s.state").alias("state"), F.array_join("s.reasons", ",").alias("reasons"), evidence.margin_decision("s.state", "margin", 0.45).alias("decision"))
+
+
+@query(f"""WITH {BOXES} SELECT asset, id, CASE WHEN id % 6 = 0 THEN 'forced' WHEN id % 5 = 0 THEN 'scene_cut' WHEN id = 1 THEN 'track_birth' WHEN lang = 'R' THEN 'occlusion_recovery' WHEN conf * 10 < 0.55::DOUBLE THEN 'confidence_decay' WHEN w / 100 > 0.35::DOUBLE THEN 'visual_change' WHEN state = 'F' THEN 'keyframe' END AS reason FROM boxes""")
+def reading_triggers(spark, sf_dir):
+    """Why each box is read again."""
+    reason = evidence.trigger(F.col("id") % 6 == 0, F.col("id") % 5 == 0, F.col("id") == 1, F.col("lang") == "R", F.col("conf") * 10, F.col("w") / 100, F.col("state") == "F")
+    return boxes(spark, sf_dir).select("asset", "id", reason.alias("reason"))
 
 
 @query(f"""WITH {BOXES}, g AS (SELECT asset, count(*) AS n, CAST(sum(CASE WHEN conf < 0.02::DOUBLE THEN 1 ELSE 0 END) AS BIGINT) AS low, count(DISTINCT lang) AS langs FROM boxes GROUP BY 1)
@@ -587,11 +646,22 @@ def component_score(spark, sf_dir):
     return rows.select("asset", "l_partkey", "l_suppkey", "l_linenumber", evidence.component_score({k: k for k in ("coverage", "content", "spatial")}).alias("score"))
 
 
-@query()
+@query(f"""WITH {BOXES}, o AS (SELECT *, {ENGINE} AS engine, conf * 10 AS raw, CASE WHEN state = 'F' THEN 'Latn' WHEN id % 2 = 0 THEN 'Cyrl' END AS script FROM boxes WHERE id % 7 <> 0), k AS (SELECT *, {_knots_sql('raw', 'engine')} AS sure FROM o),
+{PAIRS}, q AS (SELECT asset, sum(iou) AS common FROM pairs WHERE a_id < b_id AND a_id % 7 <> 0 AND b_id % 7 <> 0 GROUP BY 1), m AS (SELECT asset, max(c) / sum(c) AS stability FROM (SELECT asset, text, count(*) AS c FROM k GROUP BY 1, 2) GROUP BY 1),
+r AS (SELECT asset, count(*) AS n, count(DISTINCT engine) AS engines, max(sure) AS confidence, count(DISTINCT lang) AS langs, count(DISTINCT script) AS scripts FROM k GROUP BY 1),
+b AS (SELECT asset, id FROM (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY sure DESC, id) AS place FROM k) WHERE place = 1),
+s AS (SELECT r.asset, b.id AS selected_id, n, least(1.0::DOUBLE, (engines - 1) * 0.5::DOUBLE) AS cross_backend, confidence, stability, CASE WHEN n > 1 THEN coalesce(common, 0) / (n * (n - 1) / 2) ELSE 0.5::DOUBLE END AS geometry,
+  CASE langs WHEN 0 THEN 0.5::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 0.3::DOUBLE END AS language, CASE scripts WHEN 0 THEN 0.5::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 0.3::DOUBLE END AS glyph FROM r JOIN m ON m.asset = r.asset JOIN b ON b.asset = r.asset LEFT JOIN q ON q.asset = r.asset)
+SELECT asset, selected_id, round(geometry, 4) AS geometry, round((cross_backend * 0.3::DOUBLE + confidence * 0.2::DOUBLE + stability * 0.2::DOUBLE + geometry * 0.15::DOUBLE + language * 0.1::DOUBLE + glyph * 0.05::DOUBLE), 4) AS score, array_to_string(CASE WHEN cross_backend = 0 AND (n = 1 OR (stability < 0.8::DOUBLE AND geometry < 0.5::DOUBLE)) THEN ['single_observation'] ELSE
+  list_filter([CASE WHEN cross_backend > 0 THEN 'cross_backend_consensus' END, CASE WHEN n > 1 AND stability >= 0.8::DOUBLE THEN 'text_stable' END, CASE WHEN n > 1 AND geometry >= 0.5::DOUBLE THEN 'geometry_aligned' END], lambda x: x IS NOT NULL) END, ',') AS reasons FROM s""")
 def hypothesis_score(spark, sf_dir):
-    """Stability and cross-backend support of each asset's texts."""
-    rows = boxes(spark, sf_dir).withColumn("norm", tx.normalize_text("text"))
-    return evidence.hypothesis_scores(rows.select("asset", "norm", "conf", "backend"), ["asset"])
+    """Signals, score and selected reading of each asset's readings."""
+    script = F.when(F.col("state") == "F", "Latn").when(F.col("id") % 2 == 0, "Cyrl")
+    rows = boxes(spark, sf_dir).select(
+        "asset", "id", engine().alias("backend"), "text", F.col("text").alias("key"), (F.col("conf") * 10).alias("raw"), "x", "y", "w", "h", F.col("lang").alias("language"), script.alias("script"), F.when(F.col("id") % 7 == 0, "lost").alias("error"),
+    )
+    found = evidence.hypothesis_scores(rows, "asset")
+    return found.select("asset", "selected_id", "geometry", "score", F.array_join("reasons", ",").alias("reasons"))
 
 
 # Metrics
@@ -666,7 +736,7 @@ def hierarchy_concordance(spark, sf_dir):
 @query()
 def bootstrap_interval(spark, sf_dir):
     """A bootstrap interval of the mean value."""
-    return metrics.bootstrap_mean(table(spark, sf_dir, "events"), "value", "event_id", 100)
+    return metrics.bootstrap_mean(table(spark, sf_dir, "events"), "value", "event_id")
 
 
 # Graph
@@ -706,7 +776,7 @@ def decision_ledger(spark, sf_dir):
 
 # Language model
 
-_TOKENS = """t AS (SELECT doc_id, list_filter(string_split(regexp_replace(lower(text), '[^\\p{L}\\p{M}\\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM documents), b AS (SELECT doc_id, unnest(list_concat(['<s>'], w[1:len(w) - 1])) AS prev, unnest(w) AS token FROM t WHERE len(w) > 0), g AS (SELECT prev, token, count(*) AS n FROM b GROUP BY 1, 2)"""
+_TOKENS = """t AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(replace(lower(text), 'ß', 'ss'), '([^\\p{L}\\p{N}\\s])', ' \\1 ', 'g'), '\\s+'), lambda x: x <> '') AS w FROM documents), b AS (SELECT doc_id, unnest(list_concat(['<s>'], w[1:len(w) - 1])) AS prev, unnest(w) AS token FROM t WHERE len(w) > 0), g AS (SELECT prev, token, count(*) AS n FROM b GROUP BY 1, 2)"""
 
 
 @query(f"WITH {_TOKENS} SELECT token, CAST(sum(n) AS BIGINT) AS n, count(*) AS contexts FROM g GROUP BY 1 HAVING sum(n) >= 2")
@@ -719,8 +789,8 @@ def ngram_counts(spark, sf_dir):
 @query()
 def lm_score(spark, sf_dir):
     """Mean log probability of every text."""
-    toks = language_model.tokens(table(spark, sf_dir, "documents"))
-    return language_model.score(toks, *language_model.counts(toks))
+    counted = language_model.document_counts(language_model.tokens(table(spark, sf_dir, "documents")))
+    return language_model.score(counted, *language_model.counts(counted))
 
 
 # Streams (batch forms)
