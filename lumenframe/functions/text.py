@@ -25,9 +25,9 @@ UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]"
 RTL = r"[\p{IsArabic}\p{IsHebrew}]"
 CJK = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]"
 
-#: Placeholders such as {name}, {{name}}, %s, %1$d, ${var} and <tag>.
-PLACEHOLDER = r"\{\{[^{}]*\}\}|\$\{[^{}]*\}|\{[^{}]*\}|%[0-9]*\$?[sdif@]|</?[A-Za-z][^<>]*>"
-NUMBER = r"[0-9]+(?:[.,][0-9]+)*"
+# What counts as a placeholder and as a number of a translated text.
+PLACEHOLDER = r"%(?:\d+\$)?[a-zA-Z]|\{[^{}\s]+\}|\$\{[^{}]+\}|\{\{\s*[^{}]+\s*\}\}|</?[A-Za-z][^>]*>"
+NUMBER = r"(?U)(?<!\w)[+-]?\d+(?:[.,]\d+)*(?:%|°[CFcf])?(?!\w)"
 
 
 def as_col(c: Column | str) -> Column:
@@ -159,6 +159,93 @@ def expansion_ratio(source, target) -> Column:
     return F.length(F.trim(as_col(target))) / F.greatest(F.lit(1), F.length(F.trim(as_col(source))))
 
 
+def validation(source, target, missed=None) -> Column:
+    """A translation's issues (code, severity), eligible (no error among them) and review_required (any); ``missed`` is the number of glossary terms it lacks."""
+    source, target = (F.coalesce(as_col(c), F.lit("")) for c in (source, target))
+    plain = lambda c: F.lower(F.trim(c))
+    ratio = expansion_ratio(source, target)
+    rules = [
+        (placeholders(source) != placeholders(target), "placeholder_mismatch", "error"), (numbers(source) != numbers(target), "number_mismatch", "error"), (F.trim(target) == "", "empty_target", "error"),
+        ((plain(source) != "") & (plain(source) == plain(target)), "source_identical", "review"), ((ratio > 2.5) | (ratio < 0.25), "expansion_risk", "review"),
+    ]
+    if missed is not None:
+        rules.append((F.coalesce(as_col(missed), F.lit(0)) > 0, "glossary_violation", "error"))
+    issues = F.array_compact(F.array(*[F.when(on, F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"))) for on, code, severity in rules]))
+    bound = F.transform(F.array(issues), lambda i: F.struct(i.alias("issues"), (~F.exists(i, lambda x: x["severity"] == "error")).alias("eligible"), (F.size(i) > 0).alias("review_required"), F.round(ratio, 4).alias("length_ratio")))
+    return bound[0]
+
+
+def clean_cell(c) -> Column:
+    """White space collapsed and trimmed; null is empty."""
+    return F.trim(F.regexp_replace(F.coalesce(as_col(c), F.lit("")), r"(?U)\s+", " "))
+
+
+def locale_tag(c) -> Column:
+    """Language in lower case, subtags of two or three letters in upper case, joined by hyphens."""
+    parts = F.split(F.replace(F.trim(F.coalesce(as_col(c), F.lit(""))), F.lit("_"), F.lit("-")), "-")
+    rest = F.transform(F.slice(parts, 2, 99), lambda p: F.when(F.length(p).isin(2, 3), F.upper(p)).otherwise(p))
+    return F.array_join(F.concat(F.array(F.lower(parts[0])), rest), "-")
+
+
+def joined_runs(parts) -> Column:
+    """Texts put together with a space, but for seams between two characters of scripts without spaces."""
+    pieces = F.filter(F.transform(as_col(parts), lambda p: F.trim(F.coalesce(p, F.lit("")))), lambda p: p != "")
+
+    def add(text, piece):
+        tight = F.substring(text, -1, 1).rlike(f"^{UNSPACED}$") & F.substring(piece, 1, 1).rlike(f"^{UNSPACED}$")
+        return F.when(text == "", piece).otherwise(F.concat(text, F.when(tight, "").otherwise(" "), piece))
+
+    return F.aggregate(pieces, F.lit(""), add)
+
+
+def restored_cyrillic(c) -> Column:
+    """Latin look-alikes back to Cyrillic in words that hold a Cyrillic letter, where the text has one without a Latin twin."""
+    c = as_col(c)
+    sure = F.regexp_replace(c, f"[{CYRILLIC_TWINS}]", "").rlike(r"\p{IsCyrillic}")
+    tokens = F.regexp_extract_all(c, F.lit(r"\s+|\S+"), F.lit(0))
+    back = F.array_join(F.transform(tokens, lambda t: F.when(t.rlike(r"\p{IsCyrillic}"), F.translate(t, LATIN_TWINS, CYRILLIC_TWINS)).otherwise(t)), "")
+    return F.when(sure, back).otherwise(c)
+
+
+def agreement_form(c, language=None) -> Column:
+    """Compatibility form with white space collapsed, in lower case but for Chinese, Japanese and Korean."""
+    spaced = F.trim(F.regexp_replace(nfkc(F.coalesce(as_col(c), F.lit(""))), r"(?U)\s+", " "))
+    keep = F.lit(False) if language is None else F.lower(F.coalesce(as_col(language), F.lit(""))).rlike("^(ja|zh|ko)")
+    return F.when(keep, spaced).otherwise(F.lower(spaced))
+
+
+def pared_ratio(a, b) -> Column:
+    """Ratio of matching blocks of the normal forms of both texts' Latin skeletons."""
+    return fuzzy_ratio(normalize_text(skeleton(a)), normalize_text(skeleton(b)))
+
+
+def earliest_text(steps, original, history) -> Column:
+    """What was read first: the first step's original, the correction's, else the first text of the history."""
+    told = lambda c: F.when(c != "", c)
+    steps, history = as_col(steps), as_col(history)
+    first = F.try_element_at(F.filter(F.transform(history, lambda h: h["text"]), lambda t: F.coalesce(t, F.lit("")) != ""), F.lit(1))
+    return F.coalesce(told(F.try_element_at(steps, F.lit(1))["original_text"]), told(as_col(original)), first)
+
+
+def text_density(w, h, text) -> Column:
+    """Pixels a character along the longer side; null without a text or a box."""
+    n = F.length(F.trim(as_col(text)))
+    w, h = as_col(w), as_col(h)
+    return F.when((n > 0) & (w > 0) & (h > 0), F.greatest(w, h) / n)
+
+
+def box_note(c) -> Column:
+    """The numbers of a note "bbox: x, y, w, h" as a struct, null without one."""
+    pattern = r"(?i)\bbbox\s*:\s*(-?\d+)\s*,\s*(-?\d+)\s*,\s*(\d+)\s*,\s*(\d+)"
+    part = lambda i: F.regexp_extract(as_col(c), pattern, i).cast("int")
+    return F.when(as_col(c).rlike(pattern), F.struct(*[part(i + 1).alias(k) for i, k in enumerate("xywh")]))
+
+
+def payload_checksum(c) -> Column:
+    """SHA-256 of a JSON text with sorted keys and no spaces."""
+    return F.concat(F.lit("sha256:"), F.sha2(canonical_json(as_col(c)), 256))
+
+
 def xml_escape(c) -> Column:
     return F.replace(F.replace(F.replace(as_col(c), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
@@ -362,3 +449,44 @@ def word_edits(hypothesis: pd.Series, reference: pd.Series) -> pd.DataFrame:
 
     pairs = [(words(h), words(r)) for h, r in zip(hypothesis, reference)]
     return pd.DataFrame({"edits": [edits(r, h) for h, r in pairs], "words": [len(r) for _, r in pairs]})
+
+
+@F.pandas_udf(T.StringType())
+def nfkc(c: pd.Series) -> pd.Series:
+    import unicodedata
+
+    return c.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x), na_action="ignore")
+
+
+@F.pandas_udf(T.StringType())
+def canonical_json(c: pd.Series) -> pd.Series:
+    """Sorted keys, no spaces; null for what is no JSON."""
+    import json
+
+    def canonical(x):
+        try:
+            return json.dumps(json.loads(x), ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+        except (TypeError, ValueError):
+            return None
+
+    return c.map(canonical, na_action="ignore")
+
+
+@F.pandas_udf(T.StringType())
+def han_variant(c: pd.Series) -> pd.Series:
+    """Hans, Hant, mixed or undetermined, by characters that only one of the two national character sets has."""
+
+    def has(x, charset):
+        try:
+            x.encode(charset)
+            return True
+        except UnicodeEncodeError:
+            return False
+
+    def variant(x):
+        han = [ch for ch in x or "" if "\u3400" <= ch <= "\u9fff"]
+        simple = any(has(ch, "gb2312") and not has(ch, "big5") for ch in han)
+        full = any(has(ch, "big5") and not has(ch, "gb2312") for ch in han)
+        return "mixed" if simple and full else "Hans" if simple else "Hant" if full else "undetermined"
+
+    return c.map(variant)

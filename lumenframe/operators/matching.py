@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.functions.geometry import visual_similarity
 from lumenframe.functions.text import fuzzy_ratio, normalize_text
+from lumenframe.operators.graph import stored
 
 FUZZY = 0.85
 VISUAL = 0.88
@@ -32,58 +35,78 @@ def exact_pairs(regions: DataFrame, memory: DataFrame, *, text: str = "text") ->
     return key(regions).join(best, "__key").select("region_id", F.col("m.memory_id").alias("memory_id"), F.lit(1.0).alias("score"), (-F.col("m.r")).alias("recency"))
 
 
-def fuzzy_pairs(regions: DataFrame, memory: DataFrame, least: float = FUZZY, *, text: str = "text") -> DataFrame:
-    """Pairs whose matching ratio is at least ``least``.
+def _bigrams(texts: DataFrame, text: str, least: float) -> DataFrame:
+    """(text, key) for each key by which a distinct normalised text of ``n`` characters may meet another."""
+    share = least / (2 - least)
+    # a pair of the least ratio leaves at most so many characters of a text unmatched, and each spoils two bigrams
+    spoilt = 2 * F.floor(F.col("n") * (1 - least * (1 + share) / 2) + 1e-9)
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("n") - 1)), lambda i: F.substring(text, i, F.lit(2))))
+    listed = texts.withColumns({"grams": grams, "spoilt": spoilt.cast("int")})
+    return listed.withColumn("loose", F.col("spoilt") >= F.size("grams"))
+
+
+def fuzzy_candidates(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(ak, bk): pairs of distinct normalised texts that may reach the ratio; no pair that does is lost.
 
-    2 * matches / (n + m) can't reach the floor unless the shorter has at least floor / (2 - floor) of the longer's
-    length, nor unless they share that many characters, order aside; both conditions lose no pair. Distinct normalised
-    texts meet in bands of length, then the ratio itself runs in Arrow batches.
+    Of the bigrams of two such texts, at least those that no unmatched character spoils are common; so the rarest
+    ``spoilt`` + 1 of each, in one order of all, have one in common. Texts so short or so uniform that all their bigrams
+    may be spoilt meet each other by bands of length.
     """
+    a, b = _bigrams(left.select("ak", F.length("ak").alias("n")), "ak", least), _bigrams(right.select("bk", F.length("bk").alias("n")), "bk", least)
+    each = lambda df, k: df.select(k, "n", "spoilt", "loose", F.explode("grams").alias("gram"))
+    ga, gb = stored(each(a, "ak"), "bigrams"), stored(each(b, "bk"), "bigrams")
+    count = stored(ga.select("gram").unionAll(gb.select("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("c")), "bigram_counts")
+
+    def rarest(g, k):
+        place = F.row_number().over(Window.partitionBy(k).orderBy("c", "gram"))
+        return g.join(count, "gram").withColumn("__r", place).where(F.col("__r") <= F.col("spoilt") + 1).select(k, "gram")
+
     share = least / (2 - least)
-    key = lambda df, p: df.withColumn(f"{p}k", normalize_text(text)).where(F.col(f"{p}k") != "").select(f"{p}k").distinct().withColumn(f"{p}n", F.length(f"{p}k"))
-    a, b = key(regions, "a"), key(memory, "b")
-    # bands grow by a constant factor, so that a pair's lengths are at most one band apart
-    band = lambda c: F.floor(F.log(F.col(c)) / F.lit(-_ln(share))).cast("int")
-    near = b.withColumn("band", F.explode(F.array(band("bn") - 1, band("bn"), band("bn") + 1)))
-    pairs = a.withColumn("band", band("an")).join(near, "band").where((F.least("an", "bn") >= F.greatest("an", "bn") * share))
-    # characters in common, counted class by class
-    common = reduce(lambda x, y: x + y, [F.least(F.regexp_count("ak", F.lit(c)), F.regexp_count("bk", F.lit(c))) for c in ("[aeiou]", "[b-df-hj-m]", "[np-tv-z]", "[^a-z]")])
-    pairs = pairs.where(2 * common >= least * (F.col("an") + F.col("bn")))
-    scored = pairs.withColumn("score", fuzzy_ratio("ak", "bk")).where(F.col("score") >= least).select("ak", "bk", "score")
+    band = F.floor(F.log("n") / F.lit(-math.log(share))).cast("int")
+    short = a.where("loose").select("ak", band.alias("band")).join(b.where("loose").select("bk", F.explode(F.array(band - 1, band, band + 1)).alias("band")), "band").select("ak", "bk")
+    pairs = rarest(ga, "ak").join(rarest(gb, "bk"), "gram").select("ak", "bk").unionAll(short).distinct()
+    return pairs.where(F.least(F.length("ak"), F.length("bk")) >= F.greatest(F.length("ak"), F.length("bk")) * share)
+
+
+def fuzzy_pairs(regions: DataFrame, memory: DataFrame, least: float = FUZZY, *, text: str = "text") -> DataFrame:
+    """Pairs whose matching ratio is at least ``least``: distinct normalised texts meet by rare bigrams, then the ratio itself runs in Arrow batches."""
+    key = lambda df, k: df.select(normalize_text(text).alias(k)).where(F.col(k) != "").distinct()
+    scored = fuzzy_candidates(key(regions, "ak"), key(memory, "bk"), least).withColumn("score", fuzzy_ratio("ak", "bk")).where(F.col("score") >= least).select("ak", "bk", "score")
     best = first_of(scored, ["ak"], F.desc("score"), F.asc("bk"))
     left = regions.withColumn("ak", normalize_text(text))
     right = first_of(memory.withColumn("bk", normalize_text(text)), ["bk"], F.desc("recency"), F.asc("memory_id"))
     return left.join(best, "ak").join(right.select("bk", "memory_id", "recency"), "bk").select("region_id", "memory_id", "score", "recency")
 
 
-def _ln(x: float) -> float:
-    import math
-
-    return math.log(x)
-
-
-def hamming_pairs(left: DataFrame, right: DataFrame, budget: int, *, slices: int = 8, hi: str = "hi", lo: str = "lo") -> DataFrame:
+def hamming_pairs(left: DataFrame, right: DataFrame, budget: int, *, agree: int = 2, hi: str = "hi", lo: str = "lo") -> DataFrame:
     """Pairs of 64-bit hashes (two 32-bit halves) within ``budget`` differing bits.
 
-    With more slices than differing bits one slice is equal, so that slices are equality keys; a pair is reported by its
-    first equal slice only. A budget of ``slices`` or more would lose pairs and is refused.
+    Of ``budget`` + ``agree`` blocks at least ``agree`` are equal, so that every choice of so many blocks is an equality
+    key; a pair is reported by the first choice that is equal only.
     """
-    if budget >= slices:
-        raise ValueError("more slices than differing bits are needed")
-    width = 64 // slices
-
-    def piece(i, p=""):
-        half, at = (hi, i) if i < slices // 2 else (lo, i - slices // 2)
-        return F.shiftright(F.col(p + half), 32 - width * (at + 1)).bitwiseAND(F.lit((1 << width) - 1))
+    n = budget + agree
+    edges = [64 * i // n for i in range(n + 1)]
+    choices = list(itertools.combinations(range(n), agree))
+
+    def block(i, p):
+        """The bits of a block as a number; it may lie across the halves."""
+        first, last = edges[i], edges[i + 1]
+        part = lambda c, a, b: F.shiftright(F.col(p + c), 32 - b).bitwiseAND(F.lit((1 << (b - a)) - 1))
+        if last <= 32 or first >= 32:
+            return part(hi if last <= 32 else lo, first % 32, (last - 1) % 32 + 1)
+        return F.shiftleft(part(hi, first, 32), last - 32).bitwiseOR(part(lo, 0, last - 32))
 
     def keyed(df, p):
         named = df.select(*[F.col(c).alias(p + c) for c in df.columns])
-        return named.withColumn("key", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), piece(i, p).alias("v")) for i in range(slices)])))
+        blocks = named.withColumn(f"{p}blocks", F.array(*[block(i, p).cast("bigint") for i in range(n)]))
+        keys = [F.struct(F.lit(k).alias("k"), *[F.col(f"{p}blocks")[i].alias(f"v{j}") for j, i in enumerate(c)]) for k, c in enumerate(choices)]
+        return blocks.withColumn("key", F.explode(F.array(*keys)))
 
     pairs = keyed(left, "a_").join(keyed(right, "b_"), "key")
     far = F.bit_count(F.col(f"a_{hi}").bitwiseXOR(F.col(f"b_{hi}"))) + F.bit_count(F.col(f"a_{lo}").bitwiseXOR(F.col(f"b_{lo}")))
-    first = reduce(lambda rest, i: F.when(piece(i, "a_") == piece(i, "b_"), i).otherwise(rest), reversed(range(slices)), F.lit(slices))
-    return pairs.withColumn("distance", far.cast("int")).where((F.col("distance") <= budget) & (first == F.col("key.i"))).drop("key")
+    same = F.slice(F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.col("a_blocks")[i] == F.col("b_blocks")[i]), 1, agree)
+    own = F.array(*[F.array(*map(F.lit, c)) for c in choices])[F.col("key.k")]
+    return pairs.withColumn("distance", far.cast("int")).where((F.col("distance") <= budget) & (same == own)).drop("key", "a_blocks", "b_blocks")
 
 
 def tiered(regions: DataFrame, tiers: list[tuple[str, DataFrame]]) -> DataFrame:
@@ -135,6 +158,18 @@ def terminology(rows: DataFrame) -> DataFrame:
 
 
 def glossary_violations(rows: DataFrame, glossary: DataFrame) -> DataFrame:
-    """Rows whose source holds a term but whose target lacks the term's translation; the glossary is a checked, small table."""
-    hit = F.lower("source").contains(F.lower("term")) & ~F.lower("target").contains(F.lower("required"))
-    return rows.join(glossary, hit).select("id", "term", "required")
+    """(id, term, required): rows whose source holds a term, in any case, while the target lacks its translation.
+
+    Terms stand anywhere in a source, so that terms and sources meet by the terms' first three characters (shorter terms
+    by all of theirs), each once a source; ``contains`` verifies.
+    """
+    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    terms = glossary.select("term", "required", low("term").alias("t")).where("t <> ''").withColumn("key", F.substring("t", 1, 3))
+    pieces = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("s") - n + 1)), lambda i: F.substring("s", i, F.lit(n)))
+    sizes = [r[0] for r in terms.select(F.length("key")).distinct().collect()]  # 1, 2, 3
+    said = rows.select("id", low("source").alias("s"), low("target").alias("g"))
+    if not sizes:
+        return said.join(terms, F.lit(False)).select("id", "term", "required")
+    keyed = said.withColumn("key", F.explode(F.array_distinct(F.concat(*[pieces(n) for n in sizes]))))
+    hits = keyed.join(terms, "key").where(F.col("s").contains(F.col("t")) & ~F.col("g").contains(low("required")))
+    return hits.select("id", "term", "required")

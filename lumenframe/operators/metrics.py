@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenframe.operators.graph import stored
+
 BINS = 10
 CLAMP = 1e-6
 
@@ -43,7 +45,7 @@ def fit_temperature(df: DataFrame, conf: str = "conf", outcome: str = "outcome",
 
     Rows are first counted by (confidence, outcome); every round is one aggregate with all temperatures as columns.
     """
-    counted = df.groupBy(conf, outcome).agg(F.count(F.lit(1)).alias("__n"))
+    counted = stored(df.groupBy(conf, outcome).agg(F.count(F.lit(1)).alias("__n")), "confidences")
     n, hits = counted.agg(F.sum("__n"), F.sum(F.col("__n") * F.col(outcome))).first()
     if not n or n < 30 or hits in (0, n):
         return 1.0
@@ -61,11 +63,17 @@ def fit_temperature(df: DataFrame, conf: str = "conf", outcome: str = "outcome",
 def precision_threshold(df: DataFrame, conf: str = "conf", outcome: str = "outcome", least_rows: int = 5, target: float = 0.98) -> DataFrame:
     """The smallest confidence from which on precision reaches the target, over at least ``least_rows`` rows.
 
-    Rows are counted by confidence first; the running sums go over distinct confidences only.
+    Rows are counted by confidence first. Running sums go bin by bin of 1/1024: those of whole bins over the bins (a table
+    of 1025 rows), those inside a bin in a task of its own.
     """
-    by = df.groupBy(F.col(conf).alias("threshold")).agg(F.count(F.lit(1)).alias("n"), F.sum(outcome).alias("k"))
-    above = Window.orderBy(F.desc("threshold"))
-    run = by.withColumns({"accepted": F.sum("n").over(above), "correct": F.sum("k").over(above)})
+    by = df.where(F.col(conf).isNotNull()).groupBy(F.col(conf).alias("threshold")).agg(F.count(F.lit(1)).alias("n"), F.sum(outcome).alias("k"))
+    by = stored(by.withColumn("bin", F.floor(F.least(F.greatest(F.col("threshold"), F.lit(0.0)), F.lit(1.0)) * 1024)), "confidences")
+    bins = by.groupBy("bin").agg(F.sum("n").alias("bn"), F.sum("k").alias("bk"))
+    over = Window.orderBy(F.desc("bin"))
+    above = bins.select("bin", (F.sum("bn").over(over) - F.col("bn")).alias("before_n"), (F.sum("bk").over(over) - F.col("bk")).alias("before_k"))
+    inside = Window.partitionBy("bin").orderBy(F.desc("threshold"))
+    run = by.withColumns({"in_n": F.sum("n").over(inside), "in_k": F.sum("k").over(inside)}).join(F.broadcast(above), "bin")
+    run = run.withColumns({"accepted": F.col("before_n") + F.col("in_n"), "correct": F.col("before_k") + F.col("in_k")})
     ok = run.where((F.col("accepted") >= least_rows) & (F.col("correct") >= F.lit(target) * F.col("accepted")))
     return ok.agg(F.min("threshold").alias("threshold"))
 
@@ -167,11 +175,32 @@ def bootstrap_mean(df: DataFrame, value: str, key: str, rounds: int = 2000, leve
 
 
 def concordance(df: DataFrame, key: str, item: str, a: str, b: str) -> DataFrame:
-    """Share of a group's pairs whose order by ``a`` is kept by ``b``; pairs equal by ``a`` don't count."""
-    left, right = (df.select(key, *[F.col(c).alias(f"{p}_{c}") for c in (item, a, b)]) for p in "lr")
-    pairs = left.join(right, key).where((F.col(f"l_{item}") < F.col(f"r_{item}")) & (F.col(f"l_{a}") != F.col(f"r_{a}")))
-    kept = F.signum(F.col(f"l_{a}") - F.col(f"r_{a}")) == F.signum(F.col(f"l_{b}") - F.col(f"r_{b}"))
-    return pairs.groupBy(key).agg(F.count(F.lit(1)).alias("n_pairs"), F.count_if(kept).alias("n_kept"))
+    """How many pairs of a group differ by ``a``, and of how many of them ``b`` keeps the order.
+
+    A group's rows come sorted by ``a``; one pass keeps the values of ``b`` seen so far sorted, so that no pair is formed.
+    """
+    from bisect import bisect_left, insort
+
+    from pyspark.sql import types as T
+
+    from lumenframe.operators.spatial import each_asset
+
+    rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(key, a, b)
+    out = T.StructType([*rows.schema, T.StructField("n_pairs", T.LongType()), T.StructField("n_kept", T.LongType())])
+
+    def run(xs, ys):
+        seen, wait, last, pairs, kept = [], [], None, 0, 0
+        for x, y in zip(xs, ys):
+            if x != last:
+                for v in wait:
+                    insort(seen, v)
+                wait, last = [], x
+            pairs += len(seen)
+            kept += bisect_left(seen, y)
+            wait.append(y)
+        return ([0], [[pairs], [kept]]) if pairs else ([], [[], []])
+
+    return each_asset(rows, key, [a, b], run, out, (F.asc(a),)).select(key, "n_pairs", "n_kept")
 
 
 def area_vote(df: DataFrame, by: list[str], label: str) -> DataFrame:

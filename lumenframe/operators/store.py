@@ -77,10 +77,10 @@ def compact_ids(df: DataFrame, by: list[str], *order: Column, live: str = "live"
 
 
 def stable_split(df: DataFrame, stratum: str, name: str) -> DataFrame:
-    """The last name of each stratum with more than one is its holdout."""
-    last = F.row_number().over(Window.partitionBy(stratum).orderBy(F.desc(name))) == 1
-    many = F.count(F.lit(1)).over(Window.partitionBy(stratum)) > 1
-    return df.withColumn("split", F.when(last & many, "holdout").otherwise("dev"))
+    """The last name of each stratum with more than one is its holdout; a maximum, so that no stratum is sorted."""
+    last = df.groupBy(stratum).agg(F.max(name).alias("__last"), F.count(F.lit(1)).alias("__n"))
+    held = (F.col(name) == F.col("__last")) & (F.col("__n") > 1)
+    return df.join(last, stratum, "left").withColumn("split", F.when(held, "holdout").otherwise("dev")).drop("__last", "__n")
 
 
 def hash_split(c, holdout: tuple[int, ...] = (8, 9)) -> Column:
@@ -109,3 +109,104 @@ def provenance(left, right, order: str = "pass") -> Column:
     both = F.concat(left, right)
     keyed = F.transform(both, lambda s: F.struct(s[order].isNull().alias("n"), s[order].alias("o"), s.alias("s")))
     return F.transform(F.array_sort(keyed), lambda k: k["s"])
+
+
+def insert_rows(current: DataFrame, rows: DataFrame, id_col: str = "id") -> DataFrame:
+    """The table with new rows under the next ids, in the order of a hash of their content; ids need no common sorted task.
+
+    Rows are dealt to buckets, a bucket's first number comes from the buckets' counts (at most 1024 rows).
+    """
+    last = current.agg(F.coalesce(F.max(id_col), F.lit(0)).cast("bigint").alias("__last"))
+    own = [c for c in rows.columns if c != id_col]
+    dealt = rows.select(*own).withColumn("__h", F.xxhash64(*own)).withColumn("__b", F.pmod("__h", F.lit(1024)))
+    counts = dealt.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
+    first = counts.select("__b", (F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")).alias("__first"))
+    place = F.row_number().over(Window.partitionBy("__b").orderBy("__h", *own))
+    numbered = dealt.withColumn("__p", place).join(F.broadcast(first), "__b").crossJoin(F.broadcast(last))  # 1024 rows, one row
+    return current.unionByName(numbered.select((F.col("__last") + F.col("__first") + F.col("__p")).cast(current.schema[id_col].dataType).alias(id_col), *own), allowMissingColumns=True)
+
+
+def append_once(current: DataFrame, rows: DataFrame, on: list[str]) -> DataFrame:
+    """The table with those new rows whose key it doesn't hold; of new rows with one key only one is taken."""
+    return current.unionByName(rows.dropDuplicates(on).join(current.select(*on), on, "left_anti"), allowMissingColumns=True)
+
+
+def compare_and_set(current: DataFrame, changes: DataFrame, on: list[str], expected: str = "revision") -> DataFrame:
+    """Rows take a change's values only where their ``expected`` column still is what the change was made from (``expected_`` before the name).
+
+    ``applied`` tells which did; a row whose change came too late, or that has none, stays as it is.
+    """
+    new = [c for c in changes.columns if c not in on and c != f"expected_{expected}"]
+    side = changes.select(*on, F.col(f"expected_{expected}").alias("__was"), F.struct(*new).alias("__new"))
+    joined = current.join(side, on, "left").withColumn("applied", F.coalesce(F.col("__was") == F.col(expected), F.lit(False)))
+    kept = [F.when(F.col("applied"), F.col(f"__new.{c}")).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in current.columns]
+    return joined.select(*kept, "applied")
+
+
+def delete_scope(df: DataFrame, scope: Column) -> DataFrame:
+    """The rows outside a scope; those for which it is unknown stay."""
+    return df.where(~F.coalesce(scope, F.lit(False)))
+
+
+def evolve(df: DataFrame, columns: dict[str, tuple[str, object]]) -> DataFrame:
+    """Missing columns are added with their type and default; those that are there keep their values."""
+    return df.withColumns({name: F.lit(value).cast(kind) for name, (kind, value) in columns.items() if name not in df.columns})
+
+
+def dedupe_jobs(ops: DataFrame, asked: DataFrame, on: list[str], preview: str = "preview") -> DataFrame:
+    """Operations after requests came in: a request whose key is there is dropped, queued previews of a requested job and kind are superseded."""
+    fresh = asked.dropDuplicates(on).join(ops.select(*on), on, "left_anti")
+    over = fresh.select(*on[:2]).distinct().withColumn("__new", F.lit(True))
+    stale = F.coalesce("__new", F.lit(False)) & (F.col("status") == "queued") & F.col(preview)
+    kept = ops.join(over, on[:2], "left").withColumn("status", F.when(stale, "superseded").otherwise(F.col("status"))).select(*ops.columns)
+    return kept.unionByName(fresh, allowMissingColumns=True)
+
+
+def memory_candidates(memory: DataFrame, project, target: str, source: str | None = None, most: int = 2000) -> DataFrame:
+    """A project's records of a target language, newest first, at most ``most``; of a source language those without one too."""
+    rows = memory.where((F.col("project") == project) & (F.col("target_lang") == target))
+    if source is not None:
+        rows = rows.where(F.col("source_lang").isNull() | (F.col("source_lang") == source))
+    return rows.orderBy(F.desc("created"), F.desc("id")).limit(most)
+
+
+def override_union(base: DataFrame, over: DataFrame, on: list[str]) -> DataFrame:
+    """All keys of both, with the overriding table's values where it has the key."""
+    return over.unionByName(base.join(over.select(*on).distinct(), on, "left_anti"), allowMissingColumns=True)
+
+
+def latest_checkpoint(chunks: DataFrame, by: list[str], **wanted) -> DataFrame:
+    """The newest completed chunk whose revision, dependency and fingerprint are the wanted ones."""
+    usable = chunks.where(F.col("status") == "completed")
+    for name, value in wanted.items():
+        usable = usable.where(F.col(name).eqNullSafe(F.lit(value)))
+    return newest_per_key(usable, by, 1, F.desc("chunk"), F.desc("id"))
+
+
+def active_block(blocks: DataFrame, by: list[str]) -> DataFrame:
+    """The first block in order that is still open."""
+    return newest_per_key(blocks.where(F.col("open")), by, 1, F.asc("place"), F.asc("block"))
+
+
+def rewrite_ids(references: DataFrame, mapping: DataFrame, by: list[str], on_dangling: str = "error") -> DataFrame:
+    """Lists of ids (``ids``) under their new names, in their order. Mapping has old_id and new_id.
+
+    An id that the mapping lacks fails the job (error), is left out (drop) or stays (keep).
+    """
+    if on_dangling not in ("error", "drop", "keep"):
+        raise ValueError(f"unknown policy {on_dangling}")
+    named = references.withColumn("__row", F.xxhash64(*by)).select("*", F.posexplode_outer("ids").alias("__at", "old_id"))
+    joined = named.join(mapping.select(*[c for c in by if c in mapping.columns], "old_id", "new_id"), [*[c for c in by if c in mapping.columns], "old_id"], "left")
+    lost = F.col("old_id").isNotNull() & F.col("new_id").isNull()
+    if on_dangling == "error":
+        new = F.when(lost, F.raise_error(F.concat(F.lit("no region for id "), F.col("old_id"))).cast("string")).otherwise(F.col("new_id"))
+    else:
+        new = F.when(lost & F.lit(on_dangling == "keep"), F.col("old_id")).otherwise(F.col("new_id"))
+    parts = F.array_sort(F.collect_list(F.when(new.isNotNull(), F.struct(F.col("__at").alias("at"), new.alias("id")))))
+    rest = [c for c in references.columns if c != "ids"]
+    return joined.groupBy(*rest).agg(F.transform(parts, lambda p: p["id"]).alias("ids")).select(*references.columns)
+
+
+def token_difference(source, target) -> Column:
+    """Tokens of the source list that the target list lacks, each once, in order of the first."""
+    return F.array_except(source, target)

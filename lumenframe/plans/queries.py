@@ -273,8 +273,8 @@ def word_error(spark, sf_dir):
 @query(r"""SELECT page_id, len(regexp_extract_all(html, '</?[A-Za-z][^<>]*>'))::INTEGER AS tags, list_sort(regexp_extract_all(html, '[0-9]+(?:[.,][0-9]+)*')) = list_sort(regexp_extract_all(replace(html, '10', 'ten'), '[0-9]+(?:[.,][0-9]+)*')) AS same_numbers FROM pages""")
 def placeholder_check(spark, sf_dir):
     """Tags as placeholders, and whether a version in which one number is spelled out has the same numbers; of whole pages."""
-    spelled = F.replace("html", F.lit("10"), F.lit("ten"))
-    return table(spark, sf_dir, "pages").select("page_id", F.size(tx.multiset("html", "</?[A-Za-z][^<>]*>")).alias("tags"), (tx.numbers("html") == tx.numbers(spelled)).alias("same_numbers"))
+    spelled, number = F.replace("html", F.lit("10"), F.lit("ten")), "[0-9]+(?:[.,][0-9]+)*"
+    return table(spark, sf_dir, "pages").select("page_id", F.size(tx.multiset("html", "</?[A-Za-z][^<>]*>")).alias("tags"), (tx.multiset("html", number) == tx.multiset(spelled, number)).alias("same_numbers"))
 
 
 @query("""WITH c AS (SELECT *, text || ' 10:30 http://x oui!! non ? «a»' AS t, CASE turn % 3 WHEN 0 THEN 'fr-FR' WHEN 1 THEN 'fr-CA' ELSE 'en-US' END AS l FROM conversations),
@@ -862,3 +862,6 @@ def tmx_round_trip(spark, sf_dir):
 def format_sniff(spark, sf_dir):
     """Format by extension, txt for unknown ones."""
     return table(spark, sf_dir, "pages").select("page_id", interchange.format_of(F.regexp_extract("url", r"^([^?#]*)", 1)).alias("format"))
+
+
+from lumenframe.plans import more  # noqa: E402, F401  (adds its queries to the same tables)

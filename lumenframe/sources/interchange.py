@@ -190,3 +190,213 @@ def merge_server_owned(stored: Column, sent: Column, keys: list[str]) -> Column:
     old = F.from_json(stored, "map<string,string>")
     owned = F.map_filter(old, lambda k, v: k.isin(keys) & ~F.map_contains_key(has, k))
     return F.map_concat(has, owned)
+
+
+#: Columns of delimited exports, fixed.
+TABULAR = ("id", "source", "src_lang", "target", "tgt_lang", "font", "bbox")
+
+
+def tabular_rows(regions: DataFrame) -> DataFrame:
+    """The asset and the seven columns of each region that may be translated; languages fall back to the detected and the asset's own."""
+    text = lambda *names: F.coalesce(*[F.col(n) for n in names if n in regions.columns], F.lit(""))
+    box = F.concat_ws(",", *[F.col(k).cast("string") for k in "xywh"])
+    rows = regions.where(~F.coalesce("dnt", F.lit(False)))
+    return rows.select(
+        "asset", F.col("region_id").alias("id"), text("source").alias("source"), text("language", "detected_language", "src_lang").alias("src_lang"), text("target").alias("target"),
+        text("target_language", "targ_lang").alias("tgt_lang"), text("font").alias("font"), box.alias("bbox"), "reading_order",
+    )
+
+
+def write_delimited(regions: DataFrame, sep: str = ",") -> DataFrame:
+    """(asset, document): a CSV file each with quotes where a cell needs them, or with a tab a TSV file without any."""
+    quote = lambda c: F.when(F.col(c).rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.col(c)) if sep == "," else F.col(c)
+    end = "\r\n" if sep == "," else "\n"
+    rows = tabular_rows(regions).withColumn("line", F.concat_ws(sep, *map(quote, TABULAR))).withColumnRenamed("id", "region_id").withColumn("lang", F.lit(None).cast("string"))
+    key = F.struct(F.col("reading_order").isNull().alias("n"), F.col("reading_order").alias("o"), F.col("region_id").alias("i"), F.col("line").alias("p"))
+    lines = rows.groupBy("asset").agg(F.transform(F.array_sort(F.collect_list(key)), lambda k: k["p"]).alias("lines"))  # an asset's own file
+    body = F.array_join(F.concat(F.array(F.lit(sep.join(TABULAR))), "lines"), end)
+    return lines.select("asset", F.concat(body, F.lit(end)).alias("document") if sep == "," else body.alias("document"))
+
+
+def write_tables(regions: DataFrame, path: str, sep: str = "\t") -> None:
+    """All assets' rows as delimited files with a header, written where they lie."""
+    tabular_rows(regions).select("asset", *TABULAR).write.option("sep", sep).option("header", True).option("escape", '"').option("quoteAll", False).csv(path)
+
+
+def delimited_units(text: str, sep: str) -> list[tuple[str, str, str, str | None]]:
+    """(id, source, target, language): by a column named target, else the third."""
+    import csv
+    import io
+
+    rows = csv.reader(io.StringIO(text), delimiter=sep)
+    head = [h.strip().lower() for h in next(rows, [])]
+    if not head:
+        return []
+    at = head.index("target") if "target" in head else 2
+    of = {k: head.index(k) for k in ("source", "tgt_lang") if k in head}
+    cell = lambda r, k: r[of[k]] if k in of and len(r) > of[k] else None
+    return [(r[0], cell(r, "source") or "", r[at], cell(r, "tgt_lang")) for r in rows if len(r) > at]
+
+
+def txt_units(text: str) -> list[tuple[str, str, str, str | None]]:
+    found = (re.match(r"\[([^\]]*)\](.*)$", line) for line in text.splitlines())
+    return [(m[1], "", m[2].strip(), None) for m in found if m]
+
+
+READERS |= {"csv": lambda t: delimited_units(t, ","), "tsv": lambda t: delimited_units(t, "\t"), "txt": txt_units}
+
+
+def import_files(files: DataFrame, path: str = "path", content: str = "document") -> DataFrame:
+    """Units of files of any known format, each read by the reader of its extension; those that can't be read come with ``error``."""
+    marked = files.select(F.col(path).alias("path"), F.col(content).alias("document"), format_of(F.col(path)).alias("format"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for name, text, kind in zip(pdf["path"], pdf["document"], pdf["format"]):
+                try:
+                    rows += [(name, kind, *u, i, None) for i, u in enumerate(READERS.get(kind, txt_units)(text or ""))]
+                except Exception as e:
+                    rows.append((name, kind, None, None, None, None, None, str(e)))
+            yield pd.DataFrame(rows, columns=["path", "format", "unit_id", "source", "target", "lang", "ordinal", "error"]).astype({"ordinal": "Int64"})
+
+    return marked.mapInPandas(run, "path string, format string, unit_id string, source string, target string, lang string, ordinal long, error string")
+
+
+def is_semantic(document: Column, sep: str = ",") -> Column:
+    """Whether a delimited file names plates in its header."""
+    head = F.split(F.regexp_replace(F.substring_index(document, "\n", 1), '[\r"]', ""), re.escape(sep))
+    return F.array_contains(F.transform(head, F.trim), "plate_uid")
+
+
+def readiness(plates: DataFrame, returned: DataFrame, *, key: str = "asset") -> DataFrame:
+    """Returned plates (key, uid, revision, target): accepted, stale (the plate has changed since, so that it is refused), unknown or blank."""
+    now = plates.select(key, "uid", F.col("revision").alias("__now"))
+    state = F.when(F.col("__now").isNull(), "unknown").when(F.col("__now") != F.col("revision"), "stale").when(F.trim(F.coalesce("target", F.lit(""))) == "", "blank").otherwise("accepted")
+    return returned.join(now, [key, "uid"], "left").select(key, "uid", "target", state.alias("state"))
+
+
+def _glossary_column(names: list[str], *aliases: str) -> str | None:
+    plain = lambda n: re.sub(r"[\s_-]", "", n).lower()
+    wanted = {plain(a) for a in aliases}
+    return next((n for n in names if plain(n) in wanted), None)
+
+
+def glossary_entries(rows: DataFrame, src: str | None = None, targ: str | None = None) -> DataFrame:
+    """(source, target, src_lang, targ_lang) of a table whose columns go by any of the usual names; without any of them the first two are meant.
+
+    Languages come from columns, else from ``src`` and ``targ``; rows that lack a term or a language are left out.
+    """
+    from lumenframe.functions.text import clean_cell, locale_tag
+
+    names = rows.columns
+    source = _glossary_column(names, "source", "src", "source_term", "term")
+    target = _glossary_column(names, "target", "targ", "translation", "target_term")
+    own = lambda n: F.col("`" + n.replace("`", "``") + "`")
+    if source is None:
+        source, target = names[0], names[1]
+    target = target or names[1]
+    lang = lambda found, given: locale_tag(own(found)) if found else locale_tag(F.lit(given or ""))
+    out = rows.select(
+        clean_cell(own(source)).alias("source"), clean_cell(own(target)).alias("target"),
+        lang(_glossary_column(names, "src_lang", "source_language", "source_locale"), src).alias("src_lang"), lang(_glossary_column(names, "targ_lang", "target_language", "target_locale"), targ).alias("targ_lang"),
+    )
+    return out.where("source <> '' AND target <> '' AND src_lang <> '' AND targ_lang <> ''")
+
+
+#: What a correction resource has to state, fixed.
+RESOURCE_FIELDS = ("id", "kind", "locale", "schema_version", "data_version", "checksum", "provenance", "license", "entries")
+
+
+def correction_resources(files: DataFrame, schema_version: int = 1, path: str = "path", content: str = "document") -> DataFrame:
+    """(path, id, kind, locale, data_version, entry, error): a row for each entry of a sound resource, or one with what is wrong with it."""
+    import json
+
+    def fault(data) -> str | None:
+        if not isinstance(data, dict):
+            return "not an object"
+        if lost := sorted(set(RESOURCE_FIELDS) - data.keys()):
+            return f"missing fields: {', '.join(lost)}"
+        if data["schema_version"] != schema_version:
+            return "unsupported schema_version"
+        if not re.fullmatch(r"\d+\.\d+\.\d+(?:[-+][0-9A-Za-z.-]+)?", str(data["data_version"])):
+            return "data_version is no semantic version"
+        if not isinstance(data["entries"], list) or not all(isinstance(e, dict) for e in data["entries"]):
+            return "entries are no list of objects"
+        if not isinstance(data["provenance"], dict):
+            return "provenance is no object"
+        return None if data["checksum"] == checksum(data["entries"]) else "checksum mismatch"
+
+    def checksum(entries) -> str:
+        import hashlib
+
+        return "sha256:" + hashlib.sha256(json.dumps(entries, ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for name, text in zip(pdf[path], pdf[content]):
+                try:
+                    data = json.loads(text)
+                    wrong = fault(data)
+                except ValueError as e:
+                    data, wrong = None, str(e)
+                if wrong:
+                    rows.append((name, None, None, None, None, None, wrong))
+                else:
+                    head = (name, str(data["id"]), str(data["kind"]), str(data["locale"]), data["data_version"])
+                    rows += [(*head, json.dumps(e, ensure_ascii=False, sort_keys=True), None) for e in data["entries"]]
+            yield pd.DataFrame(rows, columns=["path", "id", "kind", "locale", "data_version", "entry", "error"])
+
+    return files.select(path, content).mapInPandas(run, "path string, id string, kind string, locale string, data_version string, entry string, error string")
+
+
+#: A manifest's shape; keys that a file lacks are null.
+BOX = "struct<x:int,y:int,width:int,height:int>"
+MANIFEST = (
+    "asset_id string, total_regions int, src_lang string, targ_lang string, img_dim array<int>, "
+    f"instances array<struct<id:string,bounding_box:{BOX},text:string,target_text:string,language:string,detected_language:string,confidence:double,reading_order:int,dnt:boolean,excluded:boolean,target_language:string>>, "
+    f"semantic_units array<struct<id:string,plate_uid:string,region_ids:array<string>,source_text:string,bbox:{BOX},origin:string,membership_hash:string,review_required:boolean>>, "
+    f"scene_regions array<struct<bbox:{BOX},semantic_label:string,confidence:double>>"
+)
+
+
+def manifest_problems(manifests_: DataFrame) -> Column:
+    """What is wrong with a manifest's ids: live ones have to be r1 to rN, all ids different, and every reference has to name one."""
+    all_ids = F.transform("instances", lambda i: i["id"])
+    live = F.transform(F.filter("instances", lambda i: ~F.coalesce(i["excluded"], F.lit(False))), lambda i: i["id"])
+    wanted = F.transform(F.sequence(F.lit(1), F.greatest(F.size(live), F.lit(1))), lambda n: F.concat(F.lit("r"), n.cast("string")))
+    named = F.flatten(F.transform(F.coalesce("semantic_units", F.array().cast(manifests_.schema["semantic_units"].dataType)), lambda u: F.coalesce(u["region_ids"], F.array().cast("array<string>"))))
+    rules = {
+        "not_contiguous": (F.size(live) > 0) & ((F.size(F.array_distinct(live)) != F.size(live)) | (F.size(F.array_except(wanted, live)) > 0)),
+        "duplicate_id": F.size(F.array_distinct(all_ids)) != F.size(all_ids), "dangling_reference": F.size(F.array_except(named, all_ids)) > 0,
+    }
+    return F.array_compact(F.array(*[F.when(F.coalesce(on, F.lit(False)), F.lit(code)) for code, on in rules.items()]))
+
+
+def save_manifests(manifests_: DataFrame, path: str, *, guard: bool = True) -> None:
+    """Write manifests as JSON lines by asset; with the guard, one whose ids are not sound fails the write. Null fields stay."""
+    checked = manifests_
+    if guard:
+        wrong = manifest_problems(manifests_)
+        sound = F.when(F.size(wrong) > 0, F.raise_error(F.concat(F.lit("manifest of "), F.col("asset_id"), F.lit(": "), F.array_join(wrong, ", "))).cast("string")).otherwise(F.col("asset_id"))
+        checked = manifests_.withColumn("asset_id", sound)
+    checked.write.option("ignoreNullFields", False).json(path)
+
+
+def load_manifests(spark: SparkSession, path: str, schema: str = MANIFEST) -> DataFrame:
+    """Manifests from JSON lines."""
+    return spark.read.schema(schema).json(path)
+
+
+def manifest_of(regions: DataFrame, *, key: str = "asset") -> DataFrame:
+    """A manifest of each asset from its regions, in reading order."""
+    instance = F.struct(
+        F.col("reading_order").cast("int").alias("__o"), F.col("region_id").alias("id"), F.struct(*[F.col(k).cast("int").alias(n) for k, n in zip("xywh", ("x", "y", "width", "height"))]).alias("bounding_box"),
+        F.col("source").alias("text"), F.col("target").alias("target_text"), F.col("lang").alias("language"), F.lit(None).cast("string").alias("detected_language"), F.col("conf").cast("double").alias("confidence"),
+        F.col("reading_order").cast("int").alias("reading_order"), F.coalesce("dnt", F.lit(False)).alias("dnt"), F.lit(False).alias("excluded"), F.lit(None).cast("string").alias("target_language"),
+    )
+    made = regions.groupBy(F.col(key).cast("string").alias("asset_id")).agg(F.array_sort(F.collect_list(instance)).alias("instances"))
+    none = lambda name: F.lit(None).cast(next(t for n, t in (f.split(" ", 1) for f in MANIFEST.split(", ")) if n == name))
+    own = F.transform("instances", lambda i: i.dropFields("__o"))
+    return made.select("asset_id", F.size("instances").alias("total_regions"), none("src_lang").alias("src_lang"), none("targ_lang").alias("targ_lang"), none("img_dim").alias("img_dim"), own.alias("instances"), none("semantic_units").alias("semantic_units"), none("scene_regions").alias("scene_regions"))
