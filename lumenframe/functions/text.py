@@ -34,6 +34,11 @@ def as_col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def rounded(c, places: int) -> Column:
+    """Rounded as the number's binary value is, not its decimal notation: 0.5075 to three places is 0.507."""
+    return F.round(as_col(c) * 10**places) / 10**places
+
+
 def normalize_text(c) -> Column:
     """Letters, marks and digits only, in lower case; null stays null."""
     return F.lower(F.regexp_replace(as_col(c), r"[^\p{L}\p{M}\p{N}]+", ""))
@@ -115,7 +120,7 @@ def script_pair_compatible(a, b, lang) -> Column:
 def error_rate(hypothesis, reference) -> Column:
     """Character edits of the compatibility forms over the reference's length, at most 1, to four places; null for a reference without letters."""
     h, r = F.coalesce(nfkc_key(as_col(hypothesis)), F.lit("")), F.coalesce(nfkc_key(as_col(reference)), F.lit(""))
-    return F.when(F.length(r) > 0, F.round(F.least(F.lit(1.0), F.levenshtein(h, r) / F.length(r)), 4))
+    return F.when(F.length(r) > 0, rounded(F.least(F.lit(1.0), F.levenshtein(h, r) / F.length(r)), 4))
 
 
 def word_error_rate(hypothesis, reference) -> Column:
@@ -123,7 +128,7 @@ def word_error_rate(hypothesis, reference) -> Column:
     r = as_col(reference)
     spaced = r.rlike(r"\p{L}") & ~r.rlike(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}\p{IsThai}]")
     counted = word_edits(as_col(hypothesis), r)
-    return F.when(spaced & (counted["words"] > 0), F.round(F.least(F.lit(1.0), counted["edits"] / counted["words"]), 4))
+    return F.when(spaced & (counted["words"] > 0), rounded(F.least(F.lit(1.0), counted["edits"] / counted["words"]), 4))
 
 
 def normalized_edit(a, b) -> Column:
@@ -171,7 +176,7 @@ def validation(source, target, missed=None) -> Column:
     if missed is not None:
         rules.append((F.coalesce(as_col(missed), F.lit(0)) > 0, "glossary_violation", "error"))
     issues = F.array_compact(F.array(*[F.when(on, F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"))) for on, code, severity in rules]))
-    bound = F.transform(F.array(issues), lambda i: F.struct(i.alias("issues"), (~F.exists(i, lambda x: x["severity"] == "error")).alias("eligible"), (F.size(i) > 0).alias("review_required"), F.round(ratio, 4).alias("length_ratio")))
+    bound = F.transform(F.array(issues), lambda i: F.struct(i.alias("issues"), (~F.exists(i, lambda x: x["severity"] == "error")).alias("eligible"), (F.size(i) > 0).alias("review_required"), rounded(ratio, 4).alias("length_ratio")))
     return bound[0]
 
 

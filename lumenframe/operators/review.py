@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenframe.functions.geometry import Box, containment
-from lumenframe.functions.text import as_col, scripts_in
+from lumenframe.functions.text import as_col, rounded, scripts_in
 from lumenframe.operators.graph import ancestors
 from lumenframe.operators.spatial import overlapping_pairs
 
@@ -23,7 +23,7 @@ def scene_verdict(boxes: DataFrame, surfaces: DataFrame, *, key: str = "asset",
     rows = boxes.join(best, [key, "id"], "left")
     cover, conf = F.coalesce(-F.col("best.o"), F.lit(0.0)), F.coalesce("conf", F.lit(0.0))
     inside = cover > INSIDE
-    return rows.select(key, "id", F.round(cover, 3).alias("surface_overlap"), F.col("best.l").alias("surface_label"), (~inside).alias("outside"), (~(inside | (conf >= CONFIDENT))).alias("would_veto"))
+    return rows.select(key, "id", rounded(cover, 3).alias("surface_overlap"), F.col("best.l").alias("surface_label"), (~inside).alias("outside"), (~(inside | (conf >= CONFIDENT))).alias("would_veto"))
 
 
 def symbol_noise(text, conf, w, h, localisable=None) -> Column:
@@ -108,8 +108,8 @@ def guided_recall(results: DataFrame, by: list[str]) -> DataFrame:
     expected, found = F.sum("expected"), F.sum("found")
     shipped, extra = F.sum(F.when(full, F.col("shipped"))), F.sum(F.when(full, F.col("unrequested")))
     return results.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("assets"), expected.alias("expected"), found.alias("found"), F.when(expected > 0, F.round(100.0 * found / expected, 1)).otherwise(0.0).alias("recall"),
-        F.when(shipped > 0, F.round(100.0 * extra / shipped, 1)).alias("false_region_rate"), F.count_if(full).alias("false_region_basis"),
+        F.count(F.lit(1)).alias("assets"), expected.alias("expected"), found.alias("found"), F.when(expected > 0, rounded(100.0 * found / expected, 1)).otherwise(0.0).alias("recall"),
+        F.when(shipped > 0, rounded(100.0 * extra / shipped, 1)).alias("false_region_rate"), F.count_if(full).alias("false_region_basis"),
     )
 
 

@@ -266,7 +266,7 @@ def import_files(files: DataFrame, path: str = "path", content: str = "document"
 def is_semantic(document: Column, sep: str = ",") -> Column:
     """Whether a delimited file names plates in its header."""
     head = F.split(F.regexp_replace(F.substring_index(document, "\n", 1), '[\r"]', ""), re.escape(sep))
-    return F.array_contains(F.transform(head, F.trim), "plate_uid")
+    return F.array_contains(F.transform(head, lambda h: F.trim(h)), "plate_uid")
 
 
 def readiness(plates: DataFrame, returned: DataFrame, *, key: str = "asset") -> DataFrame:
