@@ -381,7 +381,7 @@ def test_sessions_and_chunks_of_streams(spark, tmp_path):
     import datetime
 
     at = lambda m: datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=m)
-    parts = [[(1, at(0)), (1, at(5)), (2, at(3))], [(1, at(40)), (1, at(44))], [(1, at(1)), (3, at(600))]]  # the third brings a row that is too late
+    parts = [[(1, at(0)), (1, at(5)), (2, at(3))], [(1, at(40)), (1, at(44))], [(4, at(46))], [(1, at(1)), (3, at(600))]]  # the last brings a row that is too late
     schema = "user long, ts timestamp"
     for name, fn in (("sessions_", lambda d, **k: ev.sessions(d, "user", 900, **k)), ("chunks_", lambda d, **k: ev.chunks(d, "10 minutes", **k))):
         folder = tmp_path / name
@@ -389,7 +389,7 @@ def test_sessions_and_chunks_of_streams(spark, tmp_path):
         run = out.writeStream.format("memory").queryName(name).option("checkpointLocation", str(folder / "state")).outputMode("append").trigger(availableNow=True).start()
         run.awaitTermination(120)
         seen = {tuple(r) for r in spark.table(name).collect()}
-        batch = {tuple(r) for r in fn(spark.createDataFrame([r for p in parts[:2] for r in p], schema)).collect()}
+        batch = {tuple(r) for r in fn(spark.createDataFrame([r for p in parts[:3] for r in p], schema)).collect()}
         assert seen and seen <= batch and len(seen) >= len(batch) - 1
 
 
