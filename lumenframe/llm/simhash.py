@@ -243,15 +243,17 @@ def one_of_each_group(df: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     names = [f"c{i}" for i in range(len(df.columns))]
     rows = df.toDF(*names)
     own_id, own_text = names[df.columns.index(id_col)], names[df.columns.index(text)]
-    # null ids come last; equal rows share a key and are told apart only after they have met
-    key = {"none": F.col(own_id).isNull(), "id": F.col(own_id), "hash": F.xxhash64(own_text)}
-    keyed = rows.withColumns(key)
-    prints = materialize(fingerprints(keyed.select(*key, own_text), list(key), own_text, shingle), "fingerprints")
-    distinct = materialize(prints.groupBy("fp").agg(F.min(F.struct(*key)).alias("least")), "distinct")
+    # null ids come last; equal rows share a key and are told apart only after they have met. Rows meet by columns without
+    # nulls, so that the join and the last step share a partitioning
+    order = {"none": F.col(own_id).isNull(), "id": F.col(own_id), "hash": F.xxhash64(own_text)}
+    prints = materialize(fingerprints(rows.withColumns(order).select(*order, own_text), list(order), own_text, shingle), "fingerprints")
+    distinct = materialize(prints.groupBy("fp").agg(F.min(F.struct(*order)).alias("least")), "distinct")
     rooted = distinct.join(components(links(distinct, budget)), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    first = rooted.groupBy("root").agg(F.min("least").alias("least")).select(*[F.col(f"least.{k}").alias(f"first_{k}") for k in key])
-    same = [F.col(k).eqNullSafe(F.col(f"first_{k}")) for k in key]
-    return keyed.join(first, same, "left_semi").dropDuplicates(list(key)).select(*names).toDF(*df.columns)
+    plain = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    first = rooted.groupBy("root").agg(F.min("least").alias("least")).select("least.none", plain(F.col("least.id")).alias("name"), "least.hash")
+    key = ["none", "name", "hash"]
+    keyed = rows.withColumns({"none": order["none"], "name": plain(F.col(own_id)), "hash": order["hash"]})
+    return keyed.join(first, key, "left_semi").dropDuplicates(key).select(*names).toDF(*df.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
