@@ -789,7 +789,7 @@ def ngram_counts(spark, sf_dir):
 @query()
 def lm_score(spark, sf_dir):
     """Mean log probability of every text."""
-    counted = language_model.document_counts(language_model.tokens(table(spark, sf_dir, "documents")))
+    counted = language_model.document_counts(table(spark, sf_dir, "documents"))
     return language_model.score(counted, *language_model.counts(counted))
 
 

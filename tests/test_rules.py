@@ -266,7 +266,7 @@ def test_bootstrap_interval_holds_the_mean(spark):
 
 def test_model_scores_by_counts(spark):
     docs = spark.createDataFrame([(1, "a b a b c"), (2, "a b"), (3, "c a !")], "doc_id long, text string")
-    counted = language_model.document_counts(language_model.tokens(docs))
+    counted = language_model.document_counts(docs)
     unigrams, bigrams = language_model.counts(counted)
     got = {r["doc_id"]: r["n_tokens"] for r in language_model.score(counted, unigrams, bigrams).collect()}
     assert got == {1: 5, 2: 2, 3: 3}
