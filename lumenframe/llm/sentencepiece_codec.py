@@ -4,8 +4,8 @@ Method: a score-ordered agenda of adjacent symbol pairs. Each text becomes symbo
 adjacent pairs whose concatenation is a piece, the one with the best score (the leftmost of equals) is merged, until
 none is left. Words repeat, so a text is first cut where no piece can span (see :class:`Vocabulary`), and the agendas
 of a block's distinct segments advance together, one merge a segment and step, in numpy arrays. Every text is also
-encoded and decoded whole by the sentencepiece library inside the same Arrow batch; a text whose ids or decoded text
-differ takes the library's and has 1 in ``n_fallback``.
+encoded whole by the sentencepiece library inside the same Arrow batch; a text whose ids differ takes the library's and
+has 1 in ``n_fallback``. The library's ``decode`` gives the text of the ids.
 
 Null and empty texts have no ids and decode to the empty text. Repeated rows give repeated rows; pairs that tie in score
 merge from the left. An empty table gives no rows. Other columns are not read. Memory: one block of texts (a very long
@@ -238,15 +238,6 @@ class Vocabulary:
         done = self.agenda(list(index))
         return [done[index[ps[0]]] if len(ps) == 1 else [x for p in ps for x in done[index[p]]] for ps in parts]
 
-    def decode_distinct(self, segments: list[str], ids: list[list[int]]) -> list[str]:
-        """What each segment adds to a decoded text: the library decodes all in one run, which tells whether they are the segments' own texts."""
-        plain = [" " + s.replace(SPACE, " ") for s in segments]
-        if self.library.decode(list(itertools.chain.from_iterable(ids))) == "".join(plain)[1:]:
-            return plain
-        lead = next(iter(self.id.values()))
-        skip = len(self.library.decode([lead]))
-        return [self.library.decode([lead, *x])[skip:] for x in ids]
-
 
 class _Numbered(dict):
     def __missing__(self, key):
@@ -255,27 +246,23 @@ class _Numbered(dict):
 
 
 class Memo:
-    """Segments already encoded by this worker, with what they add to the results; the first MEMO are kept from block to block."""
+    """Ids of segments already encoded by this worker; the first MEMO are kept from block to block."""
 
     def __init__(self, vocab: Vocabulary):
         self.vocab, self.index = vocab, _Numbered()
-        self.digits, self.sizes, self.plain = [], [], []
+        self.ids: list[list[int]] = []
 
     def number(self, texts: list[str | None]) -> list[list[int]]:
         number = self.index.__getitem__
         docs = [list(map(number, self.vocab.segments(t))) if t else [] for t in texts]
-        old = len(self.sizes)
-        if fresh := list(self.index)[old:]:
-            ids = self.vocab.encode_distinct(fresh)
-            self.plain += self.vocab.decode_distinct(fresh, ids)
-            self.digits += [str(x)[1:-1].replace(" ", "") for x in ids]
-            self.sizes += map(len, ids)
+        if fresh := list(self.index)[len(self.ids) :]:
+            self.ids += self.vocab.encode_distinct(fresh)
         return docs
 
     def trim(self) -> None:
         for s in list(self.index)[MEMO:]:
             del self.index[s]
-        del self.digits[MEMO:], self.sizes[MEMO:], self.plain[MEMO:]
+        del self.ids[MEMO:]
 
 
 @functools.lru_cache(maxsize=4)
@@ -293,23 +280,23 @@ def encode_block(known: Memo, texts: list[str | None], with_ids: bool = False) -
     paused = gc.isenabled()
     gc.disable()  # the block makes millions of small objects and no cycles
     docs = known.number(texts)
-    digits, plain, sizes = known.digits.__getitem__, known.plain.__getitem__, known.sizes.__getitem__
+    segment = known.ids.__getitem__
     out: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "n_fallback": []}
     if with_ids:
         out |= {"ids": [], "decoded": []}
     for text, doc in zip(texts, docs):
-        decoded = "".join(map(plain, doc)).removeprefix(" ")  # decoding drops the dummy prefix
-        said, n, fell = ",".join(map(digits, doc)), sum(map(sizes, doc)), 0
+        ids = list(itertools.chain.from_iterable(map(segment, doc)))
         whole = library.encode(text) if text else []
-        theirs = str(whole)[1:-1].replace(" ", ""), library.decode(whole) if text else ""
-        if theirs != (said, decoded):
-            said, decoded, n, fell = *theirs, len(whole), 1
-        out["n_tokens"].append(n)
-        out["ids_sha256"].append(hashlib.sha256(said.encode()).hexdigest())
+        fell = ids != whole
+        if fell:
+            ids = whole
+        decoded = library.decode(ids) if ids else ""
+        out["n_tokens"].append(len(ids))
+        out["ids_sha256"].append(hashlib.sha256(str(ids)[1:-1].replace(" ", "").encode()).hexdigest())
         out["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
-        out["n_fallback"].append(fell)
+        out["n_fallback"].append(int(fell))
         if with_ids:
-            out["ids"].append(np.array(whole, np.int32))
+            out["ids"].append(np.array(ids, np.int32))
             out["decoded"].append(decoded)
     known.trim()
     if paused:

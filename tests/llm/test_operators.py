@@ -634,6 +634,6 @@ def test_every_text_is_checked(spark):
     known = sentencepiece_codec.Memo(sentencepiece_codec.vocabulary(sentencepiece_codec.model_path()))
     texts = ["one text", "another text", "one more"]
     right = sentencepiece_codec.encode_block(known, texts)
-    known.digits[known.index["text"]] = "7"
+    known.ids[known.index["text"]] = [7]
     wrong = sentencepiece_codec.encode_block(known, texts)
     assert wrong["ids_sha256"] == right["ids_sha256"] and wrong["n_fallback"] == [1, 1, 0]
