@@ -213,6 +213,10 @@ class Vocabulary:
     def size(self) -> int:
         return self.library.get_piece_size()
 
+    @functools.cached_property
+    def digits(self) -> list[str]:
+        return [str(i) for i in range(self.size)]
+
     @functools.cached_property
     def _names(self) -> dict[int, str]:
         return {i: c for c, i in self.symbols.items()}
@@ -280,7 +284,7 @@ def encode_block(known: Memo, texts: list[str | None], with_ids: bool = False) -
     paused = gc.isenabled()
     gc.disable()  # the block makes millions of small objects and no cycles
     docs = known.number(texts)
-    segment = known.ids.__getitem__
+    segment, digits = known.ids.__getitem__, known.vocab.digits.__getitem__
     out: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "n_fallback": []}
     if with_ids:
         out |= {"ids": [], "decoded": []}
@@ -292,7 +296,7 @@ def encode_block(known: Memo, texts: list[str | None], with_ids: bool = False) -
             ids = whole
         decoded = library.decode(ids) if ids else ""
         out["n_tokens"].append(len(ids))
-        out["ids_sha256"].append(hashlib.sha256(str(ids)[1:-1].replace(" ", "").encode()).hexdigest())
+        out["ids_sha256"].append(hashlib.sha256(",".join(map(digits, ids)).encode()).hexdigest())
         out["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
         out["n_fallback"].append(int(fell))
         if with_ids:
