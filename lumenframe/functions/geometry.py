@@ -106,6 +106,16 @@ def polygon_box(points) -> Column:
     return F.struct(F.array_min(xs).alias("x"), F.array_min(ys).alias("y"), (F.array_max(xs) - F.array_min(xs)).alias("w"), (F.array_max(ys) - F.array_min(ys)).alias("h"))
 
 
+def harmonise(candidate, truth, tolerance: float = 0.5) -> Column:
+    """The candidate's box, as corners, where the truth is its own box (to this area); else the candidate as it is."""
+    box = polygon_box(truth)
+    upright = F.abs(polygon_area(truth) - (box["w"] * box["h"]).cast("double")) <= tolerance
+    own = polygon_box(candidate)
+    left, top, right, bottom = own["x"], own["y"], own["x"] + own["w"], own["y"] + own["h"]
+    corners = F.array(_point(left, top), _point(right, top), _point(right, bottom), _point(left, bottom))
+    return F.when(upright, corners).otherwise(F.transform(as_col(candidate), lambda q: _point(q["x"], q["y"])))
+
+
 def point_in_polygon(x, y, points) -> Column:
     """Even-odd rule by a ray to the right."""
     x, y, p = as_col(x), as_col(y), as_col(points)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +13,9 @@ from lumenframe.operators.graph import stored
 
 BINS = 10
 CLAMP = 1e-6
+STEPS, RATE = 2000, 0.1
+#: Distinct (margin, outcome) counts that the driver holds at most: 24 bytes each.
+HELD = 1 << 20
 
 
 def calibration_bins(df: DataFrame, conf: str = "conf", outcome: str = "outcome") -> DataFrame:
@@ -60,6 +64,30 @@ def fit_temperature(df: DataFrame, conf: str = "conf", outcome: str = "outcome",
     return best
 
 
+def fit_margin(df: DataFrame, margin: str = "margin", outcome: str = "outcome") -> DataFrame:
+    """One row: slope and intercept of the logistic curve of margins (eight places), the numbers of samples and positives, and whether it was fitted.
+
+    STEPS steps of full gradient descent from (1, 0). Rows are counted by (margin, outcome) first. HELD such counts are
+    summed on the driver at most; more are summed by an aggregate a step over the stored counts, with the same result but
+    for the order of the sums. Under 30 rows, or with a single outcome, (1, 0) stays. Rows with a null count for nothing.
+    """
+    counted = stored(df.where(F.col(margin).isNotNull() & F.col(outcome).isNotNull()).groupBy(F.col(margin).cast("double").alias("m"), F.col(outcome).cast("int").alias("o")).agg(F.count(F.lit(1)).alias("n")), "margins")
+    n, hits, held = counted.agg(F.sum("n"), F.sum(F.col("n") * F.col("o")), F.count(F.lit(1))).first()
+    n, hits = n or 0, hits or 0
+    slope, intercept, fitted = 1.0, 0.0, n >= 30 and 0 < hits < n
+    if fitted:
+        rows = counted.orderBy("m", "o").toPandas() if held <= HELD else None
+        for _ in range(STEPS):
+            if rows is not None:
+                error = rows["n"] * (1 / (1 + np.exp(-(slope * rows["m"] + intercept))) - rows["o"])
+                steep, level = (error * rows["m"]).sum(), error.sum()
+            else:
+                error = F.col("n") * (1 / (1 + F.exp(-(slope * F.col("m") + intercept))) - F.col("o"))
+                steep, level = counted.agg(F.sum(error * F.col("m")), F.sum(error)).first()
+            slope, intercept = slope - RATE * float(steep) / n, intercept - RATE * float(level) / n
+    return df.sparkSession.createDataFrame([(round(slope, 8), round(intercept, 8), n, hits, fitted)], "slope double, intercept double, samples long, positives long, fitted boolean")
+
+
 def precision_threshold(df: DataFrame, conf: str = "conf", outcome: str = "outcome", least_rows: int = 5, target: float = 0.98) -> DataFrame:
     """The smallest confidence from which on precision reaches the target, over at least ``least_rows`` rows.
 

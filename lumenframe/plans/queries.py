@@ -864,4 +864,4 @@ def format_sniff(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", interchange.format_of(F.regexp_extract("url", r"^([^?#]*)", 1)).alias("format"))
 
 
-from lumenframe.plans import more  # noqa: E402, F401  (adds its queries to the same tables)
+from lumenframe.plans import more, names  # noqa: E402, F401  (they add their queries to the same tables)

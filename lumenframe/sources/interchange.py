@@ -67,6 +67,21 @@ def write_tmx(rows: DataFrame, source_lang: str = "en") -> DataFrame:
     return body.select("asset", F.concat(F.lit('<tmx version="1.4"><header/><body>\n'), F.col("body"), F.lit("\n</body></tmx>")).alias("document"))
 
 
+def memory_pairs(plates: DataFrame, regions: DataFrame, profile: str = "semantic") -> DataFrame:
+    """Rows for :func:`write_tmx`: of plates (``semantic``), of single regions (``atomic``) or of both; pairs with a blank side are left out.
+
+    Plates have ``uid``, ``plate``, ``source``, ``target`` and ``lang``; regions ``region_id``, ``source``, ``target``, ``lang`` and ``dnt``.
+    """
+    if profile not in ("semantic", "atomic", "both"):
+        raise ValueError(f"unknown profile {profile!r}")
+    filled = lambda df, *both: df.where(F.expr(" AND ".join(f"trim(coalesce({c}, '')) <> ''" for c in both)))
+    plate = filled(plates.select("asset", F.coalesce("uid", F.col("plate").cast("string")).alias("region_id"), "source", "target", "lang"), "source", "target")
+    single = regions.where(~F.coalesce("dnt", F.lit(False))).select("asset", "region_id", F.trim("source").alias("source"), F.trim("target").alias("target"), "lang")
+    parts = {"semantic": [plate], "atomic": [filled(single, "source", "target")]}
+    chosen = parts.get(profile) or parts["semantic"] + parts["atomic"]
+    return chosen[0] if len(chosen) == 1 else chosen[0].unionByName(chosen[1])
+
+
 def write_txt(rows: DataFrame) -> DataFrame:
     return exported(rows).select("asset", F.concat(F.lit("["), F.col("region_id"), F.lit("] "), F.col("source")).alias("value"))
 
