@@ -17,6 +17,8 @@ FUZZY = 0.85
 VISUAL = 0.88
 QA_FLOOR = 0.8
 HASH_BITS = 63
+#: Bytes up to which a list is sent to every executor.
+SENT_BYTES = 4 << 20
 
 
 def first_of(df: DataFrame, by: list[str], *order: Column) -> DataFrame:
@@ -24,6 +26,18 @@ def first_of(df: DataFrame, by: list[str], *order: Column) -> DataFrame:
     return df.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("__r = 1").drop("__r")
 
 
+def join_list(exploded: DataFrame, listed: DataFrame, key: list[str]) -> DataFrame:
+    """Inner join of exploded rows with a list, by measured size: a short list goes to the executors, else both are shuffled.
+
+    The planner takes exploded rows for no larger than the rows that they come from, and would gather them all in the
+    driver to broadcast them.
+    """
+    width = sum((F.coalesce(F.octet_length(c), F.lit(0)) if kind == "string" else F.lit(8) for c, kind in listed.dtypes), F.lit(16 * len(listed.columns)))
+    if (listed.agg(F.sum(width)).first()[0] or 0) <= SENT_BYTES:
+        return exploded.join(F.broadcast(listed), key)
+    return exploded.hint("merge").join(listed, key)
+
+
 def exact_pairs(regions: DataFrame, memory: DataFrame, *, text: str = "text") -> DataFrame:
     """(region_id, memory_id, score 1): equal normalised texts; blank ones never match.
 
@@ -171,5 +185,5 @@ def glossary_violations(rows: DataFrame, glossary: DataFrame) -> DataFrame:
     if not sizes:
         return said.join(terms, F.lit(False)).select("id", "term", "required")
     keyed = said.withColumn("key", F.explode(F.array_distinct(F.concat(*[pieces(n) for n in sizes]))))
-    hits = keyed.join(terms, "key").where(F.col("s").contains(F.col("t")) & ~F.col("g").contains(low("required")))
+    hits = join_list(keyed, terms, ["key"]).where(F.col("s").contains(F.col("t")) & ~F.col("g").contains(low("required")))
     return hits.select("id", "term", "required")

@@ -409,3 +409,17 @@ def test_chunks_are_committed_once(spark, tmp_path):
     assert sorted(r["v"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2, 3]
     tracks = spark.createDataFrame([(1, 1, 0.9, 1.0, False), (2, 3, 0.5, 1.0, False), (3, 3, 0.9, 1.0, False), (4, 1, 0.9, 1.0, True)], "track long, n long, conf double, share double, excluded boolean")
     assert {r["track"]: r["status"] for r in ev.settle(tracks).collect()} == {2: "review", 3: "ok", 4: "excluded"}
+
+
+@pytest.mark.parametrize("sent", [1 << 20, 0])
+def test_glossary_meets_sources_without_gathering_them(spark, monkeypatch, sent):
+    # the list's rows are wider, so that the planner takes the exploded sources for the smaller side
+    monkeypatch.setattr(matching, "SENT_BYTES", sent, raising=False)
+    at = F.col("id")
+    rows = spark.range(300).select("id", F.concat(F.lit("Red bolt "), (at % 7).cast("string")).alias("source"), F.when(at % 2 == 0, "ROT und mehr").alias("target"))
+    glossary = spark.range(8).select(F.when(at < 7, F.concat(F.lit("BOLT "), at.cast("string"))).otherwise("x").alias("term"), F.lit("Rot").alias("required"))
+    got = matching.glossary_violations(rows, glossary)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BuildLeft" not in plan and ("BuildRight" in plan) == (sent > 0)
+    assert sorted(map(tuple, got.collect())) == [(i, f"BOLT {i % 7}", "Rot") for i in range(1, 300, 2)]
+    assert matching.glossary_violations(rows, glossary.limit(0)).collect() == []
