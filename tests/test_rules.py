@@ -413,11 +413,11 @@ def test_chunks_are_committed_once(spark, tmp_path):
 
 @pytest.mark.parametrize("sent", [1 << 20, 0])
 def test_glossary_meets_sources_without_gathering_them(spark, monkeypatch, sent):
-    # the list's rows are wider, so that the planner takes the exploded sources for the smaller side
+    # the list comes from a table as large and its rows are wider: the planner takes the exploded sources for the smaller side
     monkeypatch.setattr(matching, "SENT_BYTES", sent, raising=False)
     at = F.col("id")
     rows = spark.range(300).select("id", F.concat(F.lit("Red bolt "), (at % 7).cast("string")).alias("source"), F.when(at % 2 == 0, "ROT und mehr").alias("target"))
-    glossary = spark.range(8).select(F.when(at < 7, F.concat(F.lit("BOLT "), at.cast("string"))).otherwise("x").alias("term"), F.lit("Rot").alias("required"))
+    glossary = spark.range(300).where("id < 8").select(F.when(at < 7, F.concat(F.lit("BOLT "), at.cast("string"))).otherwise("x").alias("term"), F.lit("Rot").alias("required"))
     got = matching.glossary_violations(rows, glossary)
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "BuildLeft" not in plan and ("BuildRight" in plan) == (sent > 0)
