@@ -99,7 +99,7 @@ def verbatim_spans(texts: DataFrame, pool: DataFrame) -> DataFrame:
     pairs = F.transform(F.sequence(F.lit(1), F.length("text") - 1), lambda i: F.substring("text", i, F.lit(2)))
     own = spaceless.select("id", "__k", "text", F.posexplode(pairs).alias("start", "pair"))
     n = F.length("candidate")
-    found = own.join(names, ["__k", "pair"]).where(F.substring("text", F.col("start") + 1, n) == F.col("candidate"))
+    found = matching.join_list(own, names, ["__k", "pair"]).where(F.substring("text", F.col("start") + 1, n) == F.col("candidate"))
     spans = found.withColumns({"end": F.col("start") + n, "similarity": F.lit(1.0), "n_diffs": F.lit(0)})
     return _kept(spans, F.col("start") - F.col("end"), F.col("start"), F.col("candidate"))
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenframe.functions import geometry as geo
-from lumenframe.operators import gazetteer, layout, metrics
+from lumenframe.operators import gazetteer, layout, matching, metrics
 from lumenframe.sources import interchange
 
 TEXTS = "id int, text string, lang string, conf double"
@@ -78,6 +78,20 @@ def test_verbatim_spans(signs):
     assert want and spans_of(gazetteer.verbatim_spans(df, names)) == want
 
 
+@pytest.mark.parametrize("sent", [1 << 20, 0])
+def test_verbatim_spans_meet_names_without_gathering_texts(spark, monkeypatch, sent):
+    # the names come from a table like the texts' own, so that the planner takes the texts' pairs for no larger
+    monkeypatch.setattr(matching, "SENT_BYTES", sent)
+    at = F.col("id").cast("string")
+    texts = spark.range(300).select("id", F.concat(F.lit("redbolt"), at).alias("text"), F.lit("en").alias("lang"))
+    pool = spark.range(300).select(F.concat(F.lit("bolt"), at).alias("candidate"), F.lit("en").alias("lang"), F.lit("a scope").alias("scope"), F.lit(0).alias("rank"))
+    got = gazetteer.verbatim_spans(texts, pool)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BuildLeft" not in plan and ("BuildRight" in plan) == (sent > 0)
+    assert spans_of(got) == {i: [(3, 7 + len(str(i)), f"bolt{i}", 1.0, 0)] for i in range(300)}
+    assert spans_of(gazetteer.verbatim_spans(texts, pool.limit(0))) == {}
+
+
 def test_whole_names(signs):
     texts, pool, df, names = signs
     want = {}
