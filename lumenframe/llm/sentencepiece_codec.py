@@ -18,7 +18,6 @@ import functools
 import gc
 import hashlib
 import heapq
-import itertools
 import re
 import struct
 
@@ -33,6 +32,7 @@ BLOCK = 6 << 20
 #: Segments that a worker keeps between blocks (some 300 bytes each).
 MEMO = 200_000
 NONE = np.int64(2**30)
+GONE = np.int64(-(2**40))
 #: Characters from which a word has an agenda of its own.
 LONG = 64
 _SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -67,8 +67,8 @@ class Vocabulary:
     """Pieces of a merge-type model, its pairs by rank, and the places where a text may be cut.
 
     A cut between the characters a and b is exact if no piece holds "ab": no merge can then join symbols across it.
-    Cuts are made before each run of word-boundary marks and, inside a word, after a letter before a sign that no
-    piece has after a letter.
+    Cuts are made before each run of word-boundary marks and, inside a word of more than LONG characters, after a letter
+    before a sign that no piece has after a letter.
     """
 
     def __init__(self, path: str):
@@ -123,59 +123,101 @@ class Vocabulary:
         by = np.argsort(keys, kind="stable")
         self.keys = np.append(keys[by], np.int64(2**62))
         self.merged, self.ranks = np.append(np.array(merged, np.int64)[by], 0), np.append(np.array(ranks, np.int64)[by], 0)
+        self._table()
         after = {b for p in normal for a, b in zip(p, p[1:]) if a.isalpha()}
         signs = [c for c in map(chr, range(128)) if not c.isalnum() and c not in after and c not in " _"]
         self.cut = re.compile(f"(?<=[^\\W\\d_])(?=[{re.escape(''.join(signs))}])") if signs else None
 
+    def _table(self) -> None:
+        """Keys by hash with linear probing, a quarter full at most, with the ranks and pieces in the same places."""
+        self.shift = np.uint64(64 - (4 * len(self.keys)).bit_length())
+        size = 1 << (64 - int(self.shift))
+        self.slots, self.slot_rank, self.slot_piece = np.full(size, -1), np.full(size, NONE), np.zeros(size, np.int64)
+        todo = np.arange(len(self.keys) - 1)
+        at = self._slot(self.keys[todo])
+        while len(todo):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = self.keys[todo[free]]  # the last of equals stays, the others go on
+            mine = self.slots[at] == self.keys[todo]
+            self.slot_rank[at[mine]], self.slot_piece[at[mine]] = self.ranks[todo[mine]], self.merged[todo[mine]]
+            todo, at = todo[~mine], (at[~mine] + 1) & (size - 1)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
     def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank of each pair of symbols (NONE where it makes no piece), and the piece."""
-        key = (left << 32) | right
-        at = np.searchsorted(self.keys, key)
-        hit = (self.keys[at] == key) & (left >= 0) & (right >= 0)
-        return np.where(hit, self.ranks[at], NONE), np.where(hit, self.merged[at], 0)
+        key = (left << 32) | right  # below zero if either symbol is
+        at = self._slot(key)
+        there = self.slots[at]
+        other = np.flatnonzero((there != key) & (there >= 0))
+        while len(other):
+            at[other] = (at[other] + 1) & (len(self.slots) - 1)
+            there = self.slots[at[other]]
+            other = other[(there != key[other]) & (there >= 0)]
+        return self.slot_rank[at], self.slot_piece[at]
 
     def agenda(self, words: list[str]) -> list[list[int]]:
-        """Ids of each word: at every step each word's best pair is merged, and only the two pairs beside it are looked up anew."""
+        """Ids of each word."""
+        return [unpacked(ids).tolist() for ids in self.packed_agenda(words)]
+
+    def packed_agenda(self, words: list[str]) -> list[bytes]:
+        """Packed ids of each word: at every step each word's best pair is merged, and only the two pairs beside it are looked up anew."""
         if any(len(w) > LONG for w in words):
             short = [i for i, w in enumerate(words) if len(w) <= LONG]
-            out = [[] if len(w) <= LONG else self.one_agenda(w) for w in words]
-            for i, ids in zip(short, self.agenda([words[i] for i in short])):
+            out = [b"" if len(w) <= LONG else packed(self.one_agenda(w)) for w in words]
+            for i, ids in zip(short, self.packed_agenda([words[i] for i in short])):
                 out[i] = ids
             return out
         sym = self.of_char[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
-        word = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)))
+        length, word = np.fromiter(map(len, words), np.int64, len(words)), np.arange(len(words))
+        length, word = length[length > 0], word[length > 0]
         rank, made = np.full(len(sym), NONE), np.zeros(len(sym), np.int64)
-        inner = np.flatnonzero(word[:-1] == word[1:])
+        inner = np.ones(len(sym), bool)
+        inner[np.cumsum(length) - 1] = False
+        inner = np.flatnonzero(inner)
         rank[inner], made[inner] = self._pairs(sym[inner], sym[inner + 1])
         done_sym, done_word = [], []
-        while len(sym):
-            starts = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-            # one number orders pairs by rank, then place
-            best = np.minimum.reduceat((rank << 32) | np.arange(len(sym)), starts)
-            live = (best >> 32) < NONE
-            at = best[live] & 0xFFFFFFFF
-            keep = np.repeat(live, np.diff(np.append(starts, len(sym))))
-            done_sym.append(sym[~keep])
-            done_word.append(word[~keep])
-            sym[at] = made[at]
-            rank[at] = rank[at + 1]  # the end of a word stays one
-            touched = np.zeros(len(sym), bool)
-            touched[at] = True
-            keep[at + 1] = False
-            sym, word, rank, made, touched = sym[keep], word[keep], rank[keep], made[keep], np.flatnonzero(touched[keep])
-            beside = np.zeros(len(sym) + 1, bool)
-            beside[touched] = beside[touched - 1] = True
-            left = np.flatnonzero(beside[: len(sym) - 1])
-            left = left[word[left] == word[left + 1]]
-            rank[touched] = NONE
-            rank[left], made[left] = self._pairs(sym[left], sym[left + 1])
+        while len(word):
+            # merged symbols leave their places empty until enough are; the place after the last one stands for a word's ends
+            n = len(sym)
+            starts, place = np.cumsum(length) - length, np.arange(n + 1)
+            after, before = place + 1, place - 1
+            after[starts + length - 1] = before[starts] = n
+            sym, made = np.append(sym, -1), np.append(made, 0)
+            best = (np.append(rank, NONE) << 32) | place  # one number orders pairs by rank, then place
+            left_over, live = n, np.ones(len(word), bool)
+            while left_over > n // 2:
+                least = np.minimum.reduceat(best[:n], starts)
+                live = (least >> 32) < NONE
+                at = least[live] & 0xFFFFFFFF
+                if not len(at):
+                    break
+                gone, first = after[at], before[at]
+                last = after[gone]
+                sym[at], sym[gone], best[gone] = made[at], GONE, NONE << 32
+                after[at], before[last] = last, at
+                new = np.append(at, first)
+                ranks, made[new] = self._pairs(sym[new], sym[np.append(last, at)])
+                best[new] = (ranks << 32) | new
+                sym[n] = -1
+                length[live] -= 1
+                left_over = int(length[live].sum())
+            held = sym[:n] != GONE
+            size = np.add.reduceat(held.astype(np.int64), starts)
+            sym, made, rank = sym[:n][held], made[:n][held], best[:n][held] >> 32
+            going = np.repeat(live, size)
+            done_sym.append(sym[~going])
+            done_word.append(np.repeat(word[~live], size[~live]))
+            sym, made, rank, word, length = sym[going], made[going], rank[going], word[live], size[live]
         sym, word = (np.concatenate(done_sym), np.concatenate(done_word)) if done_sym else (sym, word)
         by = np.argsort(word, kind="stable")
         odd = set(np.unique(word[(sym < 0) | (sym >= self.size)]).tolist())
-        sym, bounds = sym[by].tolist(), np.searchsorted(word[by], np.arange(len(words) + 1)).tolist()
-        out = [sym[a:b] for a, b in zip(bounds, bounds[1:])]
+        sym, bounds = sym[by], (4 * np.searchsorted(word[by], np.arange(len(words) + 1))).tolist()
+        every = packed(sym)
+        out = [every[a:b] for a, b in zip(bounds, bounds[1:])]
         for i in odd:
-            out[i] = [x for y in out[i] for x in self._single(y)]
+            out[i] = packed([x for y in sym[bounds[i] // 4 : bounds[i + 1] // 4].tolist() for x in self._single(y)])
         return out
 
     def one_agenda(self, word: str) -> list[int]:
@@ -214,8 +256,13 @@ class Vocabulary:
         return self.library.get_piece_size()
 
     @functools.cached_property
-    def digits(self) -> list[str]:
-        return [str(i) for i in range(self.size)]
+    def digits(self) -> np.ndarray:
+        """Each id's digits and a comma, filled up with zero bytes."""
+        return np.array([f"{i},".encode() for i in range(self.size)])
+
+    def decimal(self, ids: np.ndarray) -> bytes:
+        """The ids as decimal numbers joined by commas."""
+        return self.digits[ids].tobytes().translate(None, b"\0")[:-1]
 
     @functools.cached_property
     def _names(self) -> dict[int, str]:
@@ -234,13 +281,29 @@ class Vocabulary:
             return text.split(" ")
         return [s[1:] for s in _SEGMENT.findall(SPACE + text.replace(" ", SPACE))]
 
-    def encode_distinct(self, segments: list[str]) -> list[list[int]]:
-        """Ids of distinct segments."""
+    def encode_distinct(self, segments: list[str]) -> list[bytes]:
+        """Packed ids of distinct segments."""
         marked = [SPACE + s for s in segments]
-        parts = [[m] if s.isalpha() or not self.cut else self.cut.split(m) for s, m in zip(segments, marked)]
+        if not self.cut or not any(len(m) > LONG for m in marked):
+            return self.packed_agenda(marked)
+        parts = [[m] if len(m) <= LONG else self.cut.split(m) for m in marked]
         index = {p: i for i, p in enumerate(dict.fromkeys(p for ps in parts for p in ps))}
-        done = self.agenda(list(index))
-        return [done[index[ps[0]]] if len(ps) == 1 else [x for p in ps for x in done[index[p]]] for ps in parts]
+        done = self.packed_agenda(list(index))
+        return [b"".join([done[index[p]] for p in ps]) for ps in parts]
+
+
+def packed(ids) -> bytes:
+    """Ids as 32-bit integers: texts' ids are joined and compared without an object each."""
+    return np.asarray(ids).astype(np.int32).tobytes()
+
+
+def unpacked(ids: bytes) -> np.ndarray:
+    return np.frombuffer(ids, np.int32)
+
+
+class _Packed(list):
+    def __setitem__(self, i, ids):
+        super().__setitem__(i, packed(ids))
 
 
 class _Numbered(dict):
@@ -254,7 +317,7 @@ class Memo:
 
     def __init__(self, vocab: Vocabulary):
         self.vocab, self.index = vocab, _Numbered()
-        self.ids: list[list[int]] = []
+        self.ids = _Packed()
 
     def number(self, texts: list[str | None]) -> list[list[int]]:
         number = self.index.__getitem__
@@ -284,23 +347,20 @@ def encode_block(known: Memo, texts: list[str | None], with_ids: bool = False) -
     paused = gc.isenabled()
     gc.disable()  # the block makes millions of small objects and no cycles
     docs = known.number(texts)
-    segment, digits = known.ids.__getitem__, known.vocab.digits.__getitem__
+    segment = known.ids.__getitem__
     out: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "n_fallback": []}
     if with_ids:
         out |= {"ids": [], "decoded": []}
     for text, doc in zip(texts, docs):
-        ids = list(itertools.chain.from_iterable(map(segment, doc)))
-        whole = library.encode(text) if text else []
-        fell = ids != whole
-        if fell:
-            ids = whole
-        decoded = library.decode(ids) if ids else ""
-        out["n_tokens"].append(len(ids))
-        out["ids_sha256"].append(hashlib.sha256(",".join(map(digits, ids)).encode()).hexdigest())
+        whole = library.encode(text, out_type="numpy") if text else np.zeros(0, np.int32)
+        fell = b"".join(map(segment, doc)) != whole.tobytes()
+        decoded = library.decode(whole) if len(whole) else ""
+        out["n_tokens"].append(len(whole))
+        out["ids_sha256"].append(hashlib.sha256(known.vocab.decimal(whole)).hexdigest())
         out["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
         out["n_fallback"].append(int(fell))
         if with_ids:
-            out["ids"].append(np.array(ids, np.int32))
+            out["ids"].append(whole)
             out["decoded"].append(decoded)
     known.trim()
     if paused:

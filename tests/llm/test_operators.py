@@ -458,6 +458,25 @@ def test_agenda_alone():
         assert ids == vocab.library.encode(t), t
 
 
+def test_packed_agenda():
+    """Packed ids of many words at once, pairs by hash, and decimal digits, against the library and plain versions."""
+    vocab, rng = sentencepiece_codec.vocabulary(sentencepiece_codec.model_path()), random.Random(3)
+    letters = "etaoinshr.,:-_(\n\t\x00éß東\u2581😀12"
+    segments = ["", *{"".join(rng.choice(letters.replace("\u2581", "")) for _ in range(rng.choice([1, 3, 8, 20, 64, 65, 150]))) for _ in range(600)}]
+    made = vocab.encode_distinct(segments)
+    assert all(isinstance(ids, bytes) for ids in made)
+    for s, ids in zip(segments[1:], made[1:]):
+        whole = vocab.library.encode(s)
+        assert sentencepiece_codec.unpacked(ids).tolist() == whole, s
+        assert vocab.decimal(sentencepiece_codec.unpacked(ids)) == ",".join(map(str, whole)).encode()
+    assert vocab.packed_agenda(["", "\u2581a", ""])[::2] == [b"", b""] and vocab.packed_agenda([]) == [] and vocab.decimal(sentencepiece_codec.unpacked(b"")) == b""
+    known = list(vocab.pair)
+    keys = sentencepiece_codec.np.array(known[::7] + [rng.choice(known) + rng.choice([-1, 1]) for _ in range(9000)] + [(5 << 32) | 7, (-1 << 32) | 5, -1])
+    ranks, pieces = vocab._pairs(keys >> 32, sentencepiece_codec.np.where(keys < 0, -1, keys & 0xFFFFFFFF))
+    none = (int(sentencepiece_codec.NONE), 0)
+    assert list(zip(ranks.tolist(), pieces.tolist())) == [vocab.pair.get(k, none) if k >= 0 else none for k in keys.tolist()]
+
+
 def test_every_template_survives_changed_words(spark):
     rng, rows = random.Random(5), []
     for k, (label, keys, text) in enumerate(licenses.TEMPLATES):
