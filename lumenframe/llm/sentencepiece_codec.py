@@ -200,7 +200,6 @@ class Vocabulary:
                 new = np.append(at, first)
                 ranks, made[new] = self._pairs(sym[new], sym[np.append(last, at)])
                 best[new] = (ranks << 32) | new
-                sym[n] = -1
                 length[live] -= 1
                 left_over = int(length[live].sum())
             held = sym[:n] != GONE
